@@ -215,7 +215,9 @@ def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio:
             r = n / size
             tail = m.items[item][-min(answer_words, size) :]
             answer = bool(e > 0 and lcs(tail, w.hash[a + f : a + e])[0] >= 0.8 * len(tail))
-            if (r >= ratio or (answer and r >= answer_ratio)) and (old is None or r > old[3]):
+            # a paraphrase keeps close together; scattered common words don't
+            near = e - f <= 1.6 * size + 4
+            if near and (r >= ratio or (answer and r >= answer_ratio)) and (old is None or r > old[3]):
                 got[key] = (row, item, float(cos[i, j]), r, answer, int(w.start[a + f] - c.at[row]), int(w.end[a + e - 1] - c.at[row]))
     return list(got.values())
 
@@ -229,7 +231,7 @@ def matches(
     model: Latent,
     *,
     keep: list[Column] | None = None,
-    cosine: float = 0.3,
+    cosine: float = 0.2,
     share: float = 0.3,
     ratio: float = 0.6,
     answer_ratio: float = 0.5,
