@@ -65,7 +65,7 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[int, np.nd
         got = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(got, -1)), pa.array(np.append(seen[got], n))], ["w", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(len(vocab)), 0
     for r in rows:
         if r["w"] < 0:
@@ -115,7 +115,7 @@ def randomised_svd(items: DataFrame, vocab: np.ndarray, idf: np.ndarray, rank: i
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(out[at]), pa.list_(pa.float64()))], ["w", "y"])
 
         sums = [F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(k)]
-        got = items.select(F.col("text").cast("string").alias("text")).mapInArrow(product, "w long, y array<double>").groupBy("w").agg(*sums).toArrow()
+        got = items.select(F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(product, "w long, y array<double>").groupBy("w").agg(*sums).toArrow()
         z = np.zeros((d, k))
         if len(got):
             z[got.column("w").to_numpy()] = np.column_stack([got.column(f"y{j}").to_numpy() for j in range(k)])
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, *, rank: int = 96, most_items: in
     """The latent space of the benchmark's passages, with word weights from all documents. The benchmark goes to every
     executor, so it has to have at most ``most_items`` items (else an error says so); the corpus may have any size.
     Null and empty items are left out."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.col("text").isNotNull())
     table = rows.limit(most_items + 1).toArrow()
     if len(table) > most_items:
         raise ValueError(f"the benchmark has more than {most_items} items; fit it in parts")
@@ -242,12 +242,11 @@ def matches(
     Passages of all documents whose cosine to an item's passage is at least ``cosine`` are candidates. Around each, the
     longest common subsequence with the item is measured; the document is contaminated if it covers ``ratio`` of the
     item's words, or ``answer_ratio`` with most of the item's last ``answer_words`` (the answer) in place. A hit names item, cosine,
-    LCS ratio, answer and the bytes from the first to the last common word. Rows without hits, null and empty texts have
+    LCS ratio, answer and the bytes (of the lower-cased text) from the first to the last common word. Rows without hits, null and empty texts have
     an empty array; repeated rows agree; empty tables give empty results or no hits."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [F.col("doc_id"), F.col("text").cast("string").alias("text")] if keep is None else keep
-    base = docs.select(*cols)
-    at, passing = base.columns.index("text"), [f for f in base.schema.fields if keep is not None or f.name != "text"]
+    base = docs.select(*([F.col("doc_id")] if keep is None else keep), F.lower(F.col("text").cast("string")).alias("lower text"))
+    at, passing = len(base.columns) - 1, base.schema.fields[:-1]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -258,7 +257,7 @@ def matches(
                     hits[row].append({"item_id": m.item_ids[item], "cosine": cos, "lcs": r, "answer": answer, "start": a, "end": b})
                 for h in hits:
                     h.sort(key=lambda x: (-x["lcs"], x["item_id"]))
-                own = [batch.column(batch.schema.get_field_index(f.name)).slice(c.lo, c.hi - c.lo) for f in passing]
+                own = [batch.column(i).slice(c.lo, c.hi - c.lo) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(hits, _HIT_PA)], [f.name for f in passing] + ["hits"])
 
     return base.mapInArrow(apply, T.StructType([*passing, T.StructField("hits", _HIT)]))

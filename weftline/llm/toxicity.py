@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.features import bounded_sample, fold_of
 from weftline.llm.words import Chunk, chunks, words
@@ -98,18 +99,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def gumbel(scores: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
-    """lambda and log K of P(best segment >= x) = 1 - exp(-K n exp(-lambda x)), by moments over clean texts."""
-    if len(scores) < 8 or scores.std() < 1e-6:
-        return 1.0, 0.0
-    lam = 1.0
-    for _ in range(20):
-        rest = scores - np.log(lengths) / lam
-        new = np.pi / (np.sqrt(6) * max(rest.std(), 1e-6))
-        if abs(new - lam) < 1e-6:
-            break
-        lam = 0.5 * (lam + new)
-    return float(lam), float(lam * (scores - np.log(lengths) / lam).mean() - 0.5772156649)
+def decay(scores: np.ndarray, share: np.ndarray, drift: float) -> float:
+    """lambda of the extreme-value law P(best segment >= x) = 1 - exp(-K n exp(-lambda x)): the positive root of
+    E exp(lambda s) = 1 over the words of clean texts, of which positive tokens are ``share`` and the rest cost ``drift``."""
+    if not len(scores):
+        return 1.0
+    value = lambda x: float((share * np.exp(np.minimum(x * scores, 500))).sum() + (1 - share.sum()) * np.exp(-x * drift)) - 1
+    lo, hi = 0.0, 1e-3
+    while value(hi) < 0 and hi < 64:
+        lo, hi = hi, 2 * hi
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if value(mid) < 0 else (lo, mid)
+    return max(hi, 0.05)
 
 
 def fit(
@@ -133,7 +135,7 @@ def fit(
     fold = fold_of(F.col("doc_id"), folds)
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.col("fold") != held_fold))
     picked = bounded_sample(usable.distinct(), "doc_id", most_labels, by="toxic")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("fold", "toxic", "text")
+    texts = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(picked), "doc_id").select("fold", "toxic", "text")
     last = folds - 1 if held_fold != folds - 1 else folds - 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +161,11 @@ def fit(
     y0, y1 = F.col("n0") + prior, F.col("n1") + prior
     odds = F.log(y1 / (all1 - y1)) - F.log(y0 / (all0 - y0))
     score = odds - caution * F.sqrt(1 / y0 + 1 / y1) - drift
-    rows = counted.where(F.col("n1") >= least_count).select("w", score.alias("s")).where("s > 0").toArrow()
+    rows = counted.where(F.col("n1") >= least_count).select("w", score.alias("s"), (y0 / all0).alias("p")).where("s > 0").toArrow()
     w, s = rows.column("w").to_numpy().view(np.uint64), rows.column("s").to_numpy()
     order = np.argsort(w)
-    model = ToxicModel(w[order], s[order], drift)
+    lam = decay(s, rows.column("p").to_numpy(), drift)
+    model = ToxicModel(w[order], s[order], drift, lam)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +174,9 @@ def fit(
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.lo, c.hi - c.lo).cast(pa.int32()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["toxic", "n", "s"])
 
     held = texts.where(F.col("fold") == last).mapInArrow(best, "toxic int, n long, s array<double>").toArrow().to_pylist()
-    clean = [(max(r["s"]), max(r["n"], 1)) for r in held if r["toxic"] != 1 and r["s"]]
-    lam, log_k = gumbel(np.array([x for x, _ in clean]), np.array([float(n) for _, n in clean]))
+    # K: how often a segment starts in clean texts
+    clean = [r for r in held if r["toxic"] != 1]
+    log_k = float(np.log((sum(len(r["s"]) for r in clean) + 0.5) / (sum(r["n"] for r in clean) + 1.0)))
     model = ToxicModel(model.tokens, model.scores, drift, lam, log_k)
     x = np.array([evidence(model, r["n"], [(0, 0, v) for v in r["s"]]) for r in held]).reshape(len(held), 2)
     y = np.array([float(r["toxic"] == 1) for r in held])
@@ -183,13 +187,12 @@ def fit(
 
 
 def score(docs: DataFrame, model: ToxicModel, *, keep: list[Column] | None = None) -> DataFrame:
-    """doc_id, score (0 to 1), predicted and segments (byte offsets of every maximal passage and its score) of
+    """doc_id, score (0 to 1), predicted and segments (byte offsets in the lower-cased text of every maximal passage and its score) of
     every row's whole text; columns in ``keep`` pass through. Null and empty texts have no segment and the least score.
     Repeated rows have equal scores; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [F.col("doc_id"), F.col("text").cast("string").alias("text")] if keep is None else keep
-    base = docs.select(*cols)
-    at, passing = base.columns.index("text"), [f for f in base.schema.fields if keep is not None or f.name != "text"]
+    base = docs.select(*([F.col("doc_id")] if keep is None else keep), F.lower(F.col("text").cast("string")).alias("lower text"))
+    at, passing = len(base.columns) - 1, base.schema.fields[:-1]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -201,10 +204,8 @@ def score(docs: DataFrame, model: ToxicModel, *, keep: list[Column] | None = Non
                 ev = np.array([evidence(m, n, f) for n, f in got]).reshape(len(got), 2)
                 p = _sigmoid(b0 + ev @ np.array([b1, b2]))
                 segs = pa.array([[{"start": a, "end": b, "score": x} for a, b, x in f] for _, f in got], _SEG)
-                own = [batch.column(batch.schema.get_field_index(f.name)).slice(c.lo, c.hi - c.lo) for f in passing]
+                own = [batch.column(i).slice(c.lo, c.hi - c.lo) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), segs], names)
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*passing, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("segments", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])))])
     return base.mapInArrow(apply, schema)
