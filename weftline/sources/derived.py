@@ -57,7 +57,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     audio = F.round(F.col("value") * 100).cast("long")
     return table(spark, sf_dir, "events").select(
-        (e % 25).alias("job"), F.floor(e / 25).alias("n"), "ts", (50 + e % 250).alias("input_chars"), F.when(e % 97 == 0, 0).otherwise(audio).alias("audio_ms"), (F.floor(audio * (50 + e % 100) / 100)).alias("synth_ms"), (e % 3).alias("retries_used"), F.floor(e / 700).alias("hook_count")
+        (e % 25).alias("job"), F.floor(e / 25).alias("n"), F.col("ts").cast("timestamp").alias("ts"), (50 + e % 250).alias("input_chars"), F.when(e % 97 == 0, 0).otherwise(audio).alias("audio_ms"), (F.floor(audio * (50 + e % 100) / 100)).alias("synth_ms"), (e % 3).alias("retries_used"), F.floor(e / 700).alias("hook_count")
     )
 
 
@@ -92,10 +92,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, F.concat(F.lit("[done] "), s(qty), F.lit("/60 chunks")))
         .otherwise(F.when(n % 3 == 0, "[error] device lost").when(n % 3 == 1, F.concat(F.lit("WARNING: Detected "), s(2 + n), F.lit("x repetition of token "), s(o % 7000), F.lit(" at position "), s(qty))).otherwise("Forcing EOS generation to prevent loop."))
     )
-    return table(spark, sf_dir, "lineitem").select((o % 50).alias("job_id"), (o * 10 + n).alias("line_no"), line.alias("line"))
+    return table(spark, sf_dir, "lineitem").select((o % 50).alias("job_id"), ((o * 10 + n) * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000).alias("line_no"), line.alias("line"))
 
 
-LOGS_SQL = """logs AS (SELECT l_orderkey % 50 AS job_id, l_orderkey * 10 + l_linenumber AS line_no, CASE (l_orderkey + l_linenumber) % 8
+LOGS_SQL = """logs AS (SELECT l_orderkey % 50 AS job_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey % 10000 AS line_no, CASE (l_orderkey + l_linenumber) % 8
   WHEN 0 THEN format('[chapter {}/8] chunk {}/60 ({}/480 total) - {}h{}m elapsed, ~{}m{}s remaining, RTF 0.{}x', l_linenumber, q, q + l_linenumber * 60, l_orderkey % 3, l_orderkey % 60, l_orderkey % 50, q, 10 + l_orderkey % 90)
   WHEN 1 THEN format('[chapter {}/8] chunk {}/60 ({}/480 total) - {}h{}m elapsed, ~{}m{}s remaining, RTF 0.{}x', l_linenumber, q, q + l_linenumber * 60, l_orderkey % 3, l_orderkey % 60, l_orderkey % 50, q, 10 + l_orderkey % 90)
   WHEN 2 THEN format('[setup] total chunks to synthesize: {}', l_orderkey % 900)

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming: log lines as typed events, running states and windowed statistics."""
