@@ -169,24 +169,33 @@ def fit(docs: DataFrame, benchmark: DataFrame, *, rank: int = 96, most_items: in
     return Latent(tuple(items), tuple(ids), vocab, idf, idf_else, basis, vec, np.searchsorted(first, lo, side="right") - 1)
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Length of the longest common subsequence of two word lists, and the first and end place in ``b`` of one."""
+def _steps(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Length of the longest common subsequence of two word lists, and how much of ``b`` it needs, in words of bits."""
     place: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         place[x] = place.get(x, 0) | (1 << i)
     full = (1 << len(a)) - 1
-    v, seen, first, last = full, 0, -1, -1
+    v, seen, last = full, 0, 0
     for j, x in enumerate(b.tolist()):
         u = v & place.get(x, 0)
         if u:
             v = ((v + u) | (v - u)) & full
             now = len(a) - v.bit_count()
             if now > seen:
-                seen, last, first = now, j, j if first < 0 else first
-    return seen, first, last + 1
+                seen, last = now, j + 1
+    return seen, last
 
 
-def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio: float, answer_ratio: float, answer_words: int) -> list[tuple[int, int, float, float, bool, int, int]]:
+def lcs(a: np.ndarray, b: np.ndarray, least: int = 0) -> tuple[int, int, int]:
+    """Length of the longest common subsequence, and where in ``b`` it begins and ends: the earliest end, and the latest
+    begin for it. Below ``least`` the places aren't sought."""
+    n, end = _steps(a, b)
+    if n < max(1, least):
+        return n, 0, 0
+    return n, end - _steps(a[::-1], b[:end][::-1])[1], end
+
+
+def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio: float, answer_ratio: float, answer_words: int, places: int = 3) -> list[tuple[int, int, float, float, bool, int, int]]:
     """Found passages of a chunk: (row, item place, cosine, LCS ratio, whether the answer is there, first byte, end byte)."""
     at = _find(m.vocab, w.hash)
     lo, hi = _blocks(w.first)
@@ -200,25 +209,33 @@ def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio:
     if not len(some):
         return []
     vec, part = _latent(at, lo[some], hi[some], m.idf, m.basis, m.idf_else)
-    got: dict[tuple[int, int], tuple] = {}
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(0, len(some), 2048):
         cos = (vec[k : k + 2048] @ m.passages.T) * part[k : k + 2048, None]
-        for i, j in zip(*np.nonzero(cos >= cosine), strict=True):
-            p, item = int(some[k + i]), int(m.passage_item[j])
-            row, size = int(w.doc[lo[p]]), len(m.items[item])
-            key = (row, item)
-            old = got.get(key)
-            if old is not None and old[3] >= 0.999:
-                continue
-            a, b = max(int(w.first[row]), int(lo[p]) - size), min(int(w.first[row + 1]), int(hi[p]) + size)
-            n, f, e = lcs(m.items[item], w.hash[a:b])
-            r = n / size
-            tail = m.items[item][-min(answer_words, size) :]
-            answer = bool(e > 0 and lcs(tail, w.hash[a + f : a + e])[0] >= 0.8 * len(tail))
-            # a paraphrase keeps close together; scattered common words don't
-            near = e - f <= 1.6 * size + 4
-            if near and (r >= ratio or (answer and r >= answer_ratio)) and (old is None or r > old[3]):
-                got[key] = (row, item, float(cos[i, j]), r, answer, int(w.start[a + f] - c.at[row]), int(w.end[a + e - 1] - c.at[row]))
+        i, j = np.nonzero(cos >= cosine)
+        pairs.append((some[k + i], m.passage_item[j], cos[i, j]))
+    near, item_of, cosines = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    # a document's nearest passages to an item show where to look: the subsequence is sought around each
+    row_of = w.doc[lo[near]]
+    order = np.lexsort((-cosines, item_of, row_of))
+    key = row_of[order] * np.int64(len(m.items)) + item_of[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+    got: dict[tuple[int, int], tuple] = {}
+    for x in order[nth < places].tolist():
+        p, item, row = int(near[x]), int(item_of[x]), int(row_of[x])
+        size, old = len(m.items[item]), got.get((row, item))
+        if old is not None and old[3] >= 0.999:
+            continue
+        a, b = max(int(w.first[row]), int(lo[p]) - size), min(int(w.first[row + 1]), int(hi[p]) + size)
+        n, f, e = lcs(m.items[item], w.hash[a:b], int(answer_ratio * size))
+        r = n / size
+        tail = m.items[item][-min(answer_words, size) :]
+        answer = bool(e > 0 and r >= answer_ratio and _steps(tail, w.hash[a + f : a + e])[0] >= 0.8 * len(tail))
+        # a paraphrase keeps close together; scattered common words don't
+        close = e - f <= 1.6 * size + 4
+        if close and (r >= ratio or (answer and r >= answer_ratio)) and (old is None or r > old[3]):
+            got[row, item] = (row, item, float(cosines[x]), r, answer, int(w.start[a + f] - c.at[row]), int(w.end[a + e - 1] - c.at[row]))
     return list(got.values())
 
 
@@ -231,8 +248,8 @@ def matches(
     model: Latent,
     *,
     keep: list[Column] | None = None,
-    cosine: float = 0.2,
-    share: float = 0.3,
+    cosine: float = 0.3,
+    share: float = 0.5,
     ratio: float = 0.6,
     answer_ratio: float = 0.5,
     answer_words: int = 5,
