@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,49 +18,61 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """Documents whose id is in ``ids``, or isn't; a null id equals a null id. Few ids are broadcast, many are shuffled."""
-    return docs.join(sized(ids, 500_000), F.col("doc_id").eqNullSafe(F.col(id_col)), how)
+#: A name that no column of documents has.
+KEY = "join key of the stage"
+
+
+def _row(docs: DataFrame) -> Column:
+    """All columns of a document as one, so that no result of an operator can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents by whether their id is among ``ids`` (a column ``KEY``); a null id equals a null id. Few ids are broadcast, many are shuffled."""
+    return docs.join(sized(ids, 500_000), F.col("doc_id").eqNullSafe(F.col(f"`{KEY}`")), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of at least one half go."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=[F.col(c) for c in docs.columns]).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, keep=[_row(docs)]).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join the document with the smallest id stays; of rows with one id and text, one."""
     groups = written(ngram_join.near_groups(docs), "stage-groups")
-    away = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("away")).distinct()
-    left = _by_id(docs, away, "away", "left_anti")
-    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    away = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(KEY)).distinct()
+    left = _by_id(docs, away, "left_anti")
+    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(KEY))
     if again.isEmpty():
         return left
-    twice = _by_id(left, again, "again", "left_semi").dropDuplicates(["doc_id", "text"])
-    return _by_id(left, again, "again", "left_anti").unionByName(twice)
+    twice = _by_id(left, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _by_id(left, again, "left_anti").unionByName(twice)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a paraphrase of one, go."""
     model = decontam.fit(docs, _table(spark, sf_dir, "benchmark"))
-    return decontam.matches(docs, model, keep=[F.col(c) for c in docs.columns]).where(F.size("hits") == 0).select(*docs.columns)
+    return decontam.matches(docs, model, keep=[_row(docs)]).where(F.size("hits") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times; those that it doesn't take go."""
-    plan = mixing.mix_plan(docs).groupBy(F.col("doc_id").alias("mixed")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    kept = docs.join(sized(written(plan, "stage-copies"), 500_000), F.col("doc_id").eqNullSafe(F.col("mixed")))
-    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    plan = mixing.mix_plan(docs).groupBy(F.col("doc_id").alias(KEY)).agg(F.max("copies").alias("copies of it")).where("`copies of it` > 0")
+    kept = docs.select(_row(docs)).join(sized(written(plan, "stage-copies"), 500_000), F.col("row.doc_id").eqNullSafe(F.col(f"`{KEY}`")))
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("`copies of it`")))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents with their shard (of 40, near equal bytes) and slot; copies of a document have one each."""
+    found = ["size", "text_crc32", "shard", "slot"]
     placed = sharding.shard_by_size(docs, 40)
-    a = docs.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+    a = docs.select(*[f"`{c}`" for c in docs.columns if c not in found])
+    rows = a.columns
+    a = a.select("*", F.row_number().over(W.partitionBy("doc_id").orderBy("text")).alias("n of it"))
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text_crc32", "shard", "slot"))
-    b = written(placed.select(F.col("doc_id").alias("placed"), "size", "text_crc32", "shard", "slot", nth.alias("n2")), "stage-slots")
-    return a.join(sized(b, 500_000), F.col("doc_id").eqNullSafe(F.col("placed")) & (F.col("nth") == F.col("n2"))).select(*docs.columns, "size", "text_crc32", "shard", "slot")
+    b = written(placed.select(F.col("doc_id").alias(KEY), *found, nth.alias("n of its place")), "stage-slots")
+    return a.join(sized(b, 500_000), F.col("doc_id").eqNullSafe(F.col(f"`{KEY}`")) & (F.col("`n of it`") == F.col("`n of its place`"))).select(*[f"`{c}`" for c in rows], *found)
 
 
 STAGES: list[tuple[str, Stage]] = [
