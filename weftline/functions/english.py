@@ -262,14 +262,24 @@ PASSES: list[tuple[str, list[tuple[re.Pattern[str], Say]] | Callable[[str], str]
     ("blanks", lambda t: re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()),
 ]
 _BY_NAME = dict(PASSES)
+#: What a text must hold for a pass to find anything: most texts skip most passes at the price of one look.
+_NEEDS = {"urls": re.compile(r"@|://|www\.", re.I), "metadata": re.compile(r"ISBN|doi|©|CC[ -]|rights", re.I), "abbreviations": re.compile(r"\.|vs"), "acronyms": re.compile("[A-Z]{2}"), "roman": re.compile(r"\b[IVXLCDM]+\b")}
+_NEEDS |= dict.fromkeys(("ordinals", "currency", "units", "time", "dates", "phones", "years", "fractions", "decimals", "cardinals"), re.compile(r"\d"))
+#: Abbreviations that end with a period are found as they stand, wherever they stand.
+_LITERAL = {re.compile(re.escape(a)).pattern: a for a, _ in ABBREVIATIONS if a.endswith(".")}
 
 
 def run_pass(name: str, text: str) -> str:
-    rules = _BY_NAME[name]
+    rules, need = _BY_NAME[name], _NEEDS.get(name)
+    if need is not None and need.search(text) is None:
+        return text
     if callable(rules):
         return rules(text)
     for pattern, say in rules:
-        text = pattern.sub((lambda _, s=say: s) if isinstance(say, str) else say, text)
+        if isinstance(say, str) and pattern.pattern in _LITERAL:
+            text = text.replace(_LITERAL[pattern.pattern], say)
+        else:
+            text = pattern.sub((lambda _, s=say: s) if isinstance(say, str) else say, text)
     return text
 
 

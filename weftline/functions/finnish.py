@@ -165,9 +165,14 @@ def _either(keys: list[str] | dict[str, str]) -> str:
     return "|".join(re.escape(k) for k in sorted(keys, key=len, reverse=True))
 
 
+_ABBREVIATION = re.compile(rf"(?i)\b({_either(ABBREVIATIONS)})")
+_NAME, _ACRONYM = re.compile(rf"\b({_either(NAMES)})\b"), re.compile(rf"\b({_either(ACRONYMS)})\b")
+_LATIN = [(re.compile(rf"(?i)(?<!\w){re.escape(p)}(?!\w)"), LATIN[p]) for p in sorted(LATIN, key=len, reverse=True)]
+
+
 def _abbreviations(text: str) -> str:
     say = lambda m: ABBREVIATIONS.get(m[1].lower(), ABBREVIATIONS.get(m[1], m[1]))
-    return re.sub(r"\btri(?=\s+[A-ZÄÖÅ])", "tohtori", re.sub(rf"(?i)\b({_either(ABBREVIATIONS)})", say, text))
+    return re.sub(r"\btri(?=\s+[A-ZÄÖÅ])", "tohtori", _ABBREVIATION.sub(say, text))
 
 
 def _date(m: re.Match[str]) -> str:
@@ -194,12 +199,15 @@ def _respelled(stems: frozenset[str], ending: str, joined: Callable[[str], str])
     return lambda t: pattern.sub(lambda m: joined(m[1]) + m[2] if m[1].lower() in stems else m[0], t)
 
 
+_ismi = _respelled(ISMI_STEMS, "ismi", lambda stem: stem + "is-mi")
+_tio = _respelled(TIO_STEMS, "tio", lambda stem: stem + "-tio")
+
+
 def _loanwords(text: str) -> str:
-    text = re.sub(rf"\b({_either(NAMES)})\b", lambda m: NAMES[m[1]], text)
-    for phrase in sorted(LATIN, key=len, reverse=True):
-        text = re.sub(rf"(?i)(?<!\w){re.escape(phrase)}(?!\w)", LATIN[phrase], text)
-    text = _respelled(ISMI_STEMS, "ismi", lambda stem: stem + "is-mi")(text)
-    return _respelled(TIO_STEMS, "tio", lambda stem: stem + "-tio")(text)
+    text = _NAME.sub(lambda m: NAMES[m[1]], text)
+    for phrase, said in _LATIN:
+        text = phrase.sub(said, text)
+    return _tio(_ismi(text))
 
 
 EMOJI = re.compile("[\U0001f300-\U0001f64f\U0001f680-\U0001f9ff\U0001fa00-\U0001faff\U0001f1e6-\U0001f1ff☀-⛿✂-➰️‍]+")
@@ -216,7 +224,7 @@ PASSES: list[tuple[str, Callable[[str], str]]] = [
     ("abbreviations", _abbreviations),
     ("dates", lambda t: re.sub(r"(?i)\b(?:klo|kello)\s+(\d{1,2}):(\d{2})\b", _clock, re.sub(r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", _date, t))),
     ("roman", _romans),
-    ("acronyms", lambda t: re.sub(rf"\b({_either(ACRONYMS)})\b", lambda m: ACRONYMS[m[1]], t)),
+    ("acronyms", lambda t: _ACRONYM.sub(lambda m: ACRONYMS[m[1]], t)),
     ("acronym_fallback", _unknown_acronyms),
     ("units", _units),
     ("century", lambda t: re.sub(rf"(\d+)-({'|'.join(CENTURY_SUFFIXES)})\b", lambda m: f"{cardinal(int(m[1]))} {m[2]}", t)),
@@ -229,17 +237,25 @@ PASSES: list[tuple[str, Callable[[str], str]]] = [
     ("blanks", lambda t: re.sub(r" +([.,;:!?])", r"\1", re.sub(r"[ \t]+", " ", t))),
 ]
 _BY_NAME = dict(PASSES)
+#: What a text must hold for a pass to find anything.
+_NEEDS = {
+    "citations": re.compile(r"\("), "metadata": re.compile(r"\("), "ellipsis": re.compile(r"\.\.\."), "toc": re.compile(r"\.\.\.\."), "isbn": re.compile(r"97[89]"),
+    "elided": re.compile("-"), "abbreviations": re.compile(r"\.|tri"), "roman": re.compile("[IVXLCDM]{2}"), "acronyms": re.compile("[A-Z]{2}"), "acronym_fallback": re.compile("[A-Z]{2}"),
+    "morpheme": re.compile("kymme|sa[dt][aao]"),
+}
+_NEEDS |= dict.fromkeys(("dates", "units", "century", "range", "page", "decimal", "governed"), re.compile(r"\d"))
 
 
 def run_pass(name: str, text: str) -> str:
-    return _BY_NAME[name](text)
+    need = _NEEDS.get(name)
+    return text if need is not None and need.search(text) is None else _BY_NAME[name](text)
 
 
 def normalize(text: str, *, drop_citations: bool = True, full_years: bool = False) -> str:
     """All passes in order; an empty text stays as it is. ``full_years`` inflects years as any number."""
     if text:
-        for name, f in PASSES:
+        for name, _ in PASSES:
             if name in ("citations", "metadata") and not drop_citations:
                 continue
-            text = _numbers(text, True) if name == "governed" and full_years else f(text)
+            text = _numbers(text, True) if name == "governed" and full_years else run_pass(name, text)
     return text

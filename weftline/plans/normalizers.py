@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import normalize as N
 from weftline.plans.registry import query
-from weftline.session import table
+from weftline.session import spread, table
 
 # ---- words of numbers, in SQL ----
 _ONES = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
@@ -66,7 +66,7 @@ def _register(name: str, lang: str, pass_name: str, tab: str, keys: tuple[str, .
 
     @query(name, oracle)
     def run(spark, d):
-        return table(spark, d, tab).select(*keys, N.one_pass(text(), lang, pass_name).alias("said"))
+        return spread(table(spark, d, tab)).select(*keys, N.one_pass(text(), lang, pass_name).alias("said"))
 
 
 C, L = F.col, F.lit
@@ -97,7 +97,7 @@ _MON = f"({_MONTHS})[month(o_orderdate)]"
 def en_o_dates(spark, d):
     day = C("o_orderdate")
     f = lambda p: F.date_format(day, p)
-    return table(spark, d, "orders").select("o_orderkey", N.one_pass(F.concat(f("yyyy-MM-dd"), L(" | "), f("M/d/yyyy"), L(" | "), f("d MMMM yyyy"), L(" | "), f("MMM d, yyyy")), "en", "dates").alias("said"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", N.one_pass(F.concat(f("yyyy-MM-dd"), L(" | "), f("M/d/yyyy"), L(" | "), f("d MMMM yyyy"), L(" | "), f("MMM d, yyyy")), "en", "dates").alias("said"))
 
 
 _DIGIT = f"CASE WHEN c = ',' THEN ',' ELSE ({_ONES})[c::INTEGER + 1] END"
@@ -134,7 +134,7 @@ _FI_MONTH = "(['tammi','helmi','maalis','huhti','touko','kesä','heinä','elo','
 @query("fi_t_dates", f"SELECT o_orderkey, {_FI_DAY} || ' ' || {_FI_MONTH} || ' ' || {fi9999(_Y)} || ' kello ' || {fi99('(o_orderkey % 24)')} || ' ' || {fi99('(10 + o_custkey % 50)')} AS said FROM orders")
 def fi_t_dates(spark, d):
     text = F.concat(F.date_format("o_orderdate", "d.M.yyyy"), L(" klo "), _s(C("o_orderkey") % 24), L(":"), _s(10 + C("o_custkey") % 50))
-    return table(spark, d, "orders").select("o_orderkey", N.one_pass(text, "fi", "dates").alias("said"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", N.one_pass(text, "fi", "dates").alias("said"))
 
 
 _register("fi_l_roman", "fi", "roman", "part", _part, lambda: F.concat(L("Kustaa II, luku IV, XIX vuosisata, DC, VII "), "p_name"), "'Kustaa toinen, luku neljäs, yhdeksästoista vuosisata, DC, seitsemän ' || p_name")
@@ -219,12 +219,12 @@ def lexicon_lookup(spark, d):
 @query("fi_normalize")
 def fi_normalize(spark, d):
     text = F.concat(L("Sivulta "), _s("p_size"), L(" alkaen, esim. 1500-luvulla 14.4.2026 klo 20:30: "), "p_name")
-    return table(spark, d, "part").select("p_partkey", N.spoken(text, "fi").alias("said"))
+    return spread(table(spark, d, "part")).select("p_partkey", N.spoken(text, "fi").alias("said"))
 
 
 @query("en_normalize")
 def en_normalize(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", N.spoken(C("text"), "en").alias("said"))
+    return spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", N.spoken(C("text"), "en").alias("said"))
 
 
 @query("normalize_dispatch", "SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 'five' WHEN lang = 'fr' THEN 'viisi' ELSE '5' END AS said FROM documents")

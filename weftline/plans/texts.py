@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.operators import markup as M
 from weftline.operators import text as X
 from weftline.plans.registry import query
-from weftline.session import table
+from weftline.session import spread, table
 
 _ASCII = r"regexp_full_match(text, '[\x00-\x7F]*')"
 _RAW = r"regexp_replace(text, '([a-z]{3})([a-z]{3} )', '\1-' || chr(10) || '\2')"
@@ -58,7 +58,7 @@ def split_sentences_simple(spark, d):
 
 @query("split_sentences")
 def split_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("k", "sentence"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("k", "sentence"))
 
 
 _CHUNKS = 300
@@ -70,7 +70,7 @@ SELECT doc_id, len(c) AS chunks, list_max([length(x) for x in c]) AS longest, md
   FROM (SELECT doc_id, [[x] for x in a] AS a FROM s WHERE len(a) > 0))""")
 def pack_chunks(spark, d):
     pieces = F.transform(X.simple_sentences(F.col("text")), lambda x: F.substring(x, 1, 290))
-    c = table(spark, d, "documents").select("doc_id", X.packed(pieces, _CHUNKS).alias("c")).where(F.size("c") > 0)
+    c = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.packed(pieces, _CHUNKS).alias("c")).where(F.size("c") > 0)
     return c.select("doc_id", F.size("c").cast("long").alias("chunks"), F.array_max(F.transform("c", F.length)).cast("long").alias("longest"), F.md5(F.array_join("c", "|").cast("binary")).alias("digest"))
 
 
@@ -83,7 +83,7 @@ def force_split(spark, d):
 
 @query("chunk_documents")
 def chunk_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"), _CHUNKS)).alias("chunk_idx", "chunk"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.chunks(F.col("text"), _CHUNKS)).alias("chunk_idx", "chunk"))
 
 
 @query("prepare_chunks")
@@ -91,7 +91,7 @@ def prepare_chunks(spark, d):
     from weftline.functions import scalars as S
     from weftline.operators.normalize import spoken
 
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.slice(X.chunks(spoken(S.sentence_start(F.col("text")), "en"), _CHUNKS), 1, 20)).alias("chunk_idx", "chunk"))
+    t = spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", F.posexplode(F.slice(X.chunks(spoken(S.sentence_start(F.col("text")), "en"), _CHUNKS), 1, 20)).alias("chunk_idx", "chunk"))
     return t
 
 
