@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import written
 
-_BITS = np.bitwise_count(np.arange(256, dtype=np.uint8))
+#: Hamming distances of bytes.
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class Codes:
         return np.packbits((y / np.maximum(size, 1e-300) - (0 if query else 1) * self.centre) @ self.rotation >= 0, axis=1)
 
 
-def learn(x: np.ndarray, norm: float, *, bits: int = 256, rounds: int = 15, seed: int = 4) -> Codes:
+def learn(x: np.ndarray, norm: float, *, bits: int = 256, rounds: int = 10, seed: int = 4) -> Codes:
     """Iterative quantisation: rotations are turned so that the signs of the rotated rows are near the rows; as many
     rotations, each from another start, as ``bits`` needs."""
     plain = Codes(np.zeros((x.shape[1] + 1, 0)), np.zeros(x.shape[1] + 1), norm)
@@ -55,27 +56,36 @@ class MultiIndex:
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.m = codes, codes.shape[1]
-        self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(self.m)]
-        self.at = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+        self.long = codes.view(np.uint64)
+        self.value = [np.ascontiguousarray(codes[:, j]) for j in range(self.m)]
+        self.order = [np.argsort(v, kind="stable").astype(np.int32) for v in self.value]
+        self.at = [np.searchsorted(v[o], np.arange(257)) for v, o in zip(self.value, self.order, strict=True)]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+    def within(self, code: np.ndarray, radius: int, *, few: int = 16, most: float = 0.4) -> np.ndarray:
         """Every row within ``radius``. Pigeonhole: with radius = m * r + a, such a row has distance <= r in one of
-        the first a + 1 parts, or <= r - 1 in one of the others; only those buckets are probed, then whole codes compared."""
+        the first a + 1 parts, or <= r - 1 in one of the others; only those buckets are probed, then whole codes compared.
+        Of a part with more than ``few`` near buckets, rows are asked for their bucket; when more than ``most`` of all rows have
+        been met, the rest are compared as well, which is cheaper than finding out which of them to leave out."""
         r, a = divmod(radius, self.m)
-        n = len(self.codes)
-        seen = np.zeros(n, dtype=bool)
+        seen = np.zeros(len(self.codes), dtype=bool)
+        rows = None
         for j in range(self.m):
-            near = _BITS[np.arange(256, dtype=np.uint8) ^ code[j]] <= (r if j <= a else r - 1)
-            at, order = self.at[j], self.order[j]
-            # neighbouring buckets are one run
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], near, [False])).astype(np.int8)))
-            for lo, hi in edge.reshape(-1, 2).tolist():
-                seen[order[at[lo] : at[hi]]] = True
-            if j % 4 == 3 and seen.all():
-                break
-        rows = np.flatnonzero(seen)
-        far = np.bitwise_count(self.codes[rows].view(np.uint64) ^ code.view(np.uint64)).sum(axis=1)
-        return rows[far <= radius]
+            near = _NEAR[code[j]] <= (r if j <= a else r - 1)
+            hit = np.flatnonzero(near)
+            if len(hit) <= few:
+                at, order = self.at[j], self.order[j]
+                for v in hit.tolist():
+                    seen[order[at[v] : at[v + 1]]] = True
+            else:
+                seen |= near[self.value[j]]
+                if np.count_nonzero(seen) > most * len(seen):
+                    rows = slice(None)
+                    break
+        if rows is None:
+            rows = np.flatnonzero(seen)
+        far = np.bitwise_count(self.long[rows] ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        good = np.flatnonzero(far <= radius)
+        return good if isinstance(rows, slice) else rows[good]
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -149,7 +159,7 @@ def search(
     k: int = 20,
     every: int = 20,
     bits: int = 256,
-    fit_rows: int = 8192,
+    fit_rows: int = 4096,
     fit_queries: int = 96,
     recall: float = 0.985,
     block_rows: int = 8192,
