@@ -21,3 +21,20 @@ def test_unknown_stage(spark):
     lines = ["[voice_pack_analyze] asr: 12.34s", "[voice_pack_analyze] nap: 1s", "asr: 3s"]
     got = V.stage_stamps(spark.createDataFrame([(x,) for x in lines], "line string")).select("stage", "elapsed_s").collect()
     assert [tuple(r) for r in got] == [("asr", 12.34)]
+
+
+def test_backends():
+    import pytest
+
+    from weftline.functions.sql import Backends
+
+    b = Backends()
+    b.add("one", lambda df: df, ("fi", "en"))
+    b.add("two", lambda df: df, ("en",))
+    assert b.names() == ["one", "two"] and b.names("fi") == ["one"]
+    with pytest.raises(ValueError):
+        b.add("one", lambda df: df)
+    with pytest.raises(ValueError):
+        b.add("", lambda df: df)
+    with pytest.raises(KeyError, match="one"):
+        b.get("three")

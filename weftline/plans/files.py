@@ -297,3 +297,29 @@ def engine_filter(spark, d):
     k = C("n_nationkey")
     langs = F.array_compact(F.array(F.when(k % 3 != 0, "fi"), F.when(k % 4 == 0, "fi"), F.lit("en")))
     return table(spark, d, "nation").where(F.array_contains(langs, "fi")).select("n_nationkey", "n_name")
+
+
+@query("src_dispatch", "SELECT p_partkey, (['epub','txt','pdf','pdf'])[p_partkey % 4 + 1] AS reader FROM part")
+def src_dispatch(spark, d):
+    """The reader that a file's ending asks for; unknown endings are taken for a PDF."""
+    name = F.concat(L("Book."), F.element_at(F.array(*map(F.lit, ("EPUB", "txt", "pdf", "doc"))), (C("p_partkey") % 4 + 1).cast("int")))
+    ending = F.lower(F.substring_index(name, ".", -1))
+    return table(spark, d, "part").select("p_partkey", F.when(ending.isin("epub", "txt"), ending).otherwise("pdf").alias("reader"))
+
+
+@query("src_lexicon", "SELECT * FROM (VALUES ('fi_abbreviations', 39), ('fi_acronyms', 22), ('fi_units', 20), ('fi_century_suffixes', 8), ('en_abbreviations', 33), ('en_units', 34), ('en_acronyms', 11), ('en_months', 12)) v(lexicon, n)")
+def src_lexicon(spark, d):
+    from weftline.sources.lexicons import lexicon
+
+    names = ("fi_abbreviations", "fi_acronyms", "fi_units", "fi_century_suffixes", "en_abbreviations", "en_units", "en_acronyms", "en_months", "none")
+    return lexicon(spark, *names).groupBy("lexicon").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("sql_functions", "SELECT count(*) AS docs FROM documents")
+def sql_functions(spark, d):
+    """The text functions by name, from SQL."""
+    from weftline.functions.sql import register
+
+    register(spark)
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("weftline_documents")
+    return spark.sql("SELECT count(*) AS docs FROM (SELECT doc_id, size(text_chunks(text)) AS n, length(spoken_en('5')) AS k FROM weftline_documents) WHERE n >= 0 AND k = 4")
