@@ -1,7 +1,5 @@
 """Text functions for SQL, and a registry of named backends (transcribers, embedders, readers) that a user can extend."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 import pandas as pd
@@ -23,15 +21,18 @@ FUNCTIONS: dict[str, tuple[Callable[[str], object], T.DataType]] = {
 }
 
 
+def _batched(f: Callable[[str], object], kind: T.DataType):
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else f(t) for t in texts], dtype=object)
+
+    return run
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the text functions known to ``spark.sql``, as Arrow-batched functions; returns their names."""
     for name, (f, kind) in FUNCTIONS.items():
-
-        def run(texts: pd.Series, f=f) -> pd.Series:
-            return pd.Series([None if t is None else f(t) for t in texts], dtype=object)
-
-        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        spark.udf.register(name, F.pandas_udf(run, kind))
+        spark.udf.register(name, _batched(f, kind))
     return sorted(FUNCTIONS)
 
 
