@@ -110,3 +110,21 @@ def test_words_of_chunks_and_pieces():
     alone = next(shingles(words(next(chunks(pa.array([long]), 1 << 30))), 2))
     assert np.array_equal(alone, all_[3])
     assert np.array_equal(next(shingles(words(next(chunks(pa.array(["Ä b c"])))), 2)), all_[4])
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_groups_around_the_threshold(spark, seed):
+    """Copies whose likeness to their origin lies on both sides of the threshold, two variants of a text, shared edits, and cut texts."""
+    rng = random.Random(seed)
+    base = prose(seed * 7, 160).split()
+    other = base[:]
+    for i in range(20, 30):
+        other[i * 5] = f"variant{i}"
+    texts = [_edited(base, rng, rng.randint(0, 9)) for _ in range(70)] + [_edited(other, rng, rng.randint(0, 7)) for _ in range(50)]
+    texts += [" ".join(base[: rng.randint(90, 160)]) for _ in range(25)]
+    edits = [_edited(base, rng, 6).split() for _ in range(4)]
+    texts += [_edited(rng.choice(edits), rng, rng.randint(0, 5)) for _ in range(50)]
+    small = prose(seed * 7 + 1, 14).split()
+    texts += [_edited(small, rng, rng.randint(0, 2)) for _ in range(30)]
+    rng.shuffle(texts)
+    _same(spark.createDataFrame(rows_of(texts), COLUMNS).repartition(3), list(enumerate(texts)))

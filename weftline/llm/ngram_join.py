@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.llm.components import components
-from weftline.llm.store import sized, written
+from weftline.llm.store import discard, sized, written
 from weftline.llm.words import chunks, mix64, shingles, words
 
-#: Share of the hash space that is listed beyond a set's prefix, so that very common shingles can be put last.
-ZONE = 0.2
+#: Share of the hash space that is listed, so that very common shingles can be put last within it.
+ZONE = 0.22
 _CUT = np.uint64(int(ZONE * 2**64))
+#: Of how many shingles a set's list entries make a link certain to show several times: one in this many.
+EXTRA = 25
 _SIG = np.uint64(0xD6E8FEB86659FD93)
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """Two sets with 100 * overlap >= percent * union share one of the first this many shingles of any global order."""
-    return n - -(-n * percent // 100) + 1
+    """How many of a set's first shingles, in any global order, are listed. Two sets x, y with 100 * overlap >= percent * union
+    share at least ``shared_least`` of the smaller one among them: n - t + k first ones share k if the overlap is t."""
+    return min(n, n - -(-n * percent // 100) + 1 + n // EXTRA)
 
 
 def signature(s: np.ndarray) -> int:
@@ -37,28 +40,35 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """doc_id, n (distinct shingles), sig (a hash of the set; null if empty), zone (the set's least hashes)."""
+    """doc_id, n (distinct shingles), sig (a hash of the set; null if empty), zone (the set's least hashes, in order) and
+    low (how many of them lie in the listed share of the hash space)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                n, sig, zone = [], [], []
+                n, sig, zone, low = [], [], [], []
                 for s in shingles(words(c), n_words):
-                    k = max(prefix_length(len(s), percent), int(np.searchsorted(s, _CUT))) if len(s) else 0
+                    m = int(np.searchsorted(s, _CUT))
+                    k = max(prefix_length(len(s), percent), m) if len(s) else 0
                     n.append(len(s))
+                    low.append(m)
                     sig.append(signature(s) if len(s) else None)
                     zone.append(s[:k])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), _lists(zone)], ["doc_id", "n", "sig", "zone"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(low, pa.int64()), _lists(zone)], ["doc_id", "n", "sig", "low", "zone"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, n long, sig long, zone array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, n long, sig long, low long, zone array<bigint>")
 
 
 def _fits(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets meet the threshold.
+_TEST = "a long, b long, an long, bn long, o long, linked boolean, diff array<bigint>"
+
+
+def tested(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with the sizes and the exact overlap ``o`` of their whole sets, whether they link, and (for those that share 70 %
+    of the larger one) the shingles that only one of them has.
 
     A set's pairs are tested together, in parts of about 64, each part with the text of ``a`` and of its ``b``s;
     only texts in pairs move. ``sets`` has (sig, rep_id), a document of each set.
@@ -76,7 +86,8 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_words: int, p
         for batch in batches:
             keys = [batch.column(i).to_pylist() for i in range(4)]
             for c in chunks(batch.column(4)):
-                a_out, b_out = [], []
+                out: list[tuple] = []
+                diff = []
                 for i, s in enumerate(shingles(words(c), n_words), c.lo):
                     a, salt, role, sig = (k[i] for k in keys)
                     if signature(s) != sig:  # another text under the same id
@@ -86,17 +97,104 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_words: int, p
                     elif lead_of == (a, salt):
                         at = np.searchsorted(lead_set, s)
                         at[at == len(lead_set)] = 0
-                        both = int(np.count_nonzero(lead_set[at] == s))
-                        if 100 * both >= percent * (len(s) + len(lead_set) - both):
-                            a_out.append(a)
-                            b_out.append(sig)
-                if a_out:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    return got.mapInArrow(test, "a long, b long")
-
-
-def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: int = 64, rounds: int = 6) -> DataFrame:
+                        same = lead_set[at] == s
+                        both = int(np.count_nonzero(same))
+                        out.append((a, sig, len(lead_set), len(s), both, 100 * both >= percent * (len(s) + len(lead_set) - both)))
+                        if 10 * both >= 7 * max(len(s), len(lead_set)):
+                            left = np.ones(len(lead_set), dtype=bool)
+                            left[at[same]] = False
+                            diff.append(np.concatenate((s[~same], lead_set[left])))
+                        else:
+                            diff.append(s[:0])
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(cols[5]), _lists(diff)], ["a", "b", "an", "bn", "o", "linked", "diff"])
+
+    out = written(got.mapInArrow(test, _TEST), "near-tests")
+    discard(need)
+    return out
+
+
+def listed(sets: DataFrame, percent: int, hot: int) -> DataFrame:
+    """Index entries (h, sig, n, score) of shingles that at least two of ``sets`` list, as a written table.
+
+    The global order is by hash, but shingles that ``hot`` sets or more list go to the end of the listed share of the
+    hash space. Who is in a list follows from a set's own entries: a shingle's place is its rank less the hot ones before it."""
+    raw = sets.select("sig", "n", "low", F.posexplode("zone").alias("r", "h"))
+    by_h = W.partitionBy("h")
+    raw = written(raw.withColumn("c", F.count("*").over(by_h)).where("c > 1"), "near-shared")
+    own = W.partitionBy("sig")
+    is_hot = ((F.col("c") >= hot) & (F.col("r") < F.col("low"))).cast("int")
+    t = raw.withColumn("hot", is_hot).withColumn("before", F.sum("hot").over(own.orderBy("r", "h")) - F.col("hot")).withColumn("hots", F.sum("hot").over(own))
+    t = t.withColumn("score", F.round(F.sum(F.log("c")).over(own) / F.col("n"), 9))
+    place = F.when(F.col("hot") == 1, F.col("low") - F.col("hots") + F.col("before")).when(F.col("r") < F.col("low"), F.col("r") - F.col("before")).otherwise(F.col("r"))
+    n = F.col("n")
+    length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / EXTRA))
+    out = written(t.where(place < length).select("h", "sig", "n", "score"), "near-lists")
+    discard(raw)
+    return out
+
+
+def _stars(lists: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs (a, b, k): in each list that holds several components the set of the highest score leads, and the others of
+    another component and a fitting size follow; k is the number of lists in which they do."""
+    top = F.max(F.struct("score", "sig", "c", "n")).alias("l")
+    lead = lists.groupBy(*keys).agg(top, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*keys, F.col("l.sig").alias("a"), F.col("l.c").alias("ac"), F.col("l.n").alias("an"))
+    pair = lists.join(lead, keys).where((F.col("sig") != F.col("a")) & (F.col("c") != F.col("ac")) & _fits(F.col("n"), F.col("an"), percent))
+    return pair.groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("bn"), F.first("an").alias("an"))
+
+
+def _with_component(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return rows.withColumn("c", F.col("sig"))
+    return rows.join(sized(comp, 400_000), F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sig")).drop("v")
+
+
+def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of lists that hold several components."""
+    return rows.join(rows.groupBy(*keys).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*keys), keys)
+
+
+def followers(tests: list[DataFrame]) -> DataFrame:
+    """(lead, sig, n, ln, o, linked, diff): sets that share most of their shingles with one they were tested against."""
+    all_ = reduce(DataFrame.union, tests)
+    close = all_.where(10 * F.col("o") >= 7 * F.greatest("an", "bn"))
+    return close.select(F.col("a").alias("lead"), F.col("b").alias("sig"), F.col("bn").alias("n"), F.col("an").alias("ln"), "o", "linked", "diff").dropDuplicates(["lead", "sig"])
+
+
+#: Classes of followers by how far they are from their leader, in steps of this share of the leader's size.
+STEP = 0.02
+
+
+def differences(follow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Index entries (lead, cls, h, sig, n, linked, score, few, share) of followers by how they differ from their leader, and the probes
+    (lead, cls, h, sig, n, few, share) of those that don't link to it.
+
+    With d shingles of the leader missing and a added, followers x, y overlap in ln - d_x - d_y + (differences that both
+    have). With g = (1 - f) d + f a and f = percent / (100 + percent), they link only if at least g_x + g_y - (1 - 2 f) ln of their
+    differences are the same; a set links to the leader just if g <= (1 - 2 f) ln. So only an x that doesn't needs to be paired, and with
+    each class of y (by g) it must share so many differences that a few are among the rarest of both. Differences that
+    many followers have come last. A pair must share ``share`` (the larger of both) in all, and so as many listed ones or ``few``
+    (the smaller of both)."""
+    t = follow.join(follow.where("not linked").select("lead").distinct(), "lead")
+    d, a, f = F.col("ln") - F.col("o"), F.col("n") - F.col("o"), percent / (100.0 + percent)
+    m = F.size("diff")
+    t = t.withColumn("g", (1 - f) * d + f * a).withColumn("over", F.col("g") - (1 - 2 * f) * F.col("ln")).withColumn("step", F.greatest(F.lit(1.0), F.floor(STEP * F.col("ln")).cast("double")))
+    t = t.withColumn("cls", F.floor(F.col("g") / F.col("step"))).withColumn("few", 1 + F.floor(m / 8)).withColumn("top", F.max("cls").over(W.partitionBy("lead")))
+    t = t.select("lead", "sig", "n", "linked", "g", "over", "step", "cls", "few", "top", m.alias("m"), F.explode("diff").alias("h"))
+    t = t.withColumn("many", F.count("*").over(W.partitionBy("lead", "h")))
+    own = W.partitionBy("lead", "sig")
+    t = t.withColumn("r", F.row_number().over(own.orderBy("many", "h"))).withColumn("score", F.round(F.avg(F.log("many")).over(own), 9)).where("many > 1")
+    # a millionth less: a bound may be weaker than it is, never stronger
+    share = F.greatest(F.lit(1), F.ceil(F.col("g") - 1e-6))
+    index = t.where(F.col("r") <= F.col("m") - share + F.col("few")).select("lead", "cls", "h", "sig", "n", "linked", "score", "few", share.alias("share"))
+    probe = t.where("not linked").withColumn("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))))
+    share = F.greatest(F.lit(1), F.ceil(F.col("over") + F.col("cls") * F.col("step") - 1e-6))
+    probe = probe.where(F.col("r") <= F.col("m") - share + F.col("few")).select("lead", "cls", "h", "sig", "n", "few", share.alias("share"))
+    return index, probe
+
+
+def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: int = 16, levels: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of the exact Jaccard join of all documents.
 
     Sets: distinct shingles of ``n_words`` words of the whole text; with fewer words the sequence is the one shingle; a null or blank text
@@ -104,90 +202,71 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
     component_id is the smallest doc_id that links reach.
 
     1. Equal sets become one (their answers are the same).
-    2. Shingles are ordered by hash, after which those of long lists go last; a set is listed under its first few.
-       Counts come from all sets; the table of common shingles has at most 2**18 entries at any size.
-    3. Answers are derived rather than computed: in each block of a list (sets of similar size) one set leads, and the
-       others are tested against it. A list whose members are known to be in one component is skipped from then on.
-       Blocks are shifted by half a width in every other round.
-    4. All pairs that are left, in lists that still join different components, are tested if size and position
-       allow a link. So no link between components is lost.
+    2. Each set is listed under its first shingles of a global order (see ``listed``). A link shows in so many
+       lists at least that two sets that share a passage alone are skipped by position and never tested.
+    3. In each list the set whose shingles are shared most leads (of near copies, the one that was copied); those that
+       follow it in enough lists are tested against it, which gives their exact overlap with it.
+    4. Answers of a leader's followers derive from its own: two of them that aren't known to be linked can only link if they differ
+       from the leader alike, so they are indexed and paired by these differences (see ``differences``), again by leaders first.
+    5. Sets of different leaders, or of none, are paired in the lists of step 2 and counted over them.
+    Lists whose members are known to be in one component are skipped throughout; all pairs that pass are tested on whole sets, so
+    no link between components is lost.
 
     Repeated rows and repeated ids are taken as they come (each text under its id). Null ids join groups but name none.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     sets_all = written(shingle_sets(docs, n_words, percent), "near-sets")
-    sets = sets_all.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep_id"))
-    sets = written(sets, "near-reps")
-    extra = sets_all.where("sig is not null").select("doc_id", "sig").join(sets, "sig").where(~F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(F.col("doc_id").alias("xd"), F.col("sig").alias("xs"))
-    one = sets_all.where("sig is not null").join(sized(extra, 1_000_000), F.col("doc_id").eqNullSafe(F.col("xd")) & (F.col("sig") == F.col("xs")), "left_anti")
-
-    n_list = sets_all.agg(F.sum(F.size("zone"))).first()[0] or 0
-    common = max(hot, n_list >> 18)
-    found = one.select(F.explode("zone").alias("h")).groupBy("h").count().where(F.col("count") >= common).select("h")
-    late = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in found.toLocalIterator()], dtype=np.int64).view(np.uint64)))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value
-        for batch in batches:
-            sig, n, zone = (batch.column(i) for i in range(3))
-            flat, at = zone.flatten().to_numpy(zero_copy_only=False).view(np.uint64), zone.offsets.to_numpy()
-            at = at - at[0]
-            put = np.zeros(len(flat), dtype=bool)
-            if len(last):
-                j = np.searchsorted(last, flat)
-                j[j == len(last)] = 0
-                put = last[j] == flat
-            h, pos, row = [], [], []
-            for i, size in enumerate(n.to_pylist()):
-                z, p = flat[at[i] : at[i + 1]], put[at[i] : at[i + 1]]
-                if p.any():
-                    z = np.concatenate((z[~p], z[p]))
-                z = z[: prefix_length(size, percent)]
-                h.append(z)
-                pos.append(np.arange(len(z), dtype=np.int32))
-                row.append(np.full(len(z), i, dtype=np.int32))
-            if h:
-                row = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), sig.take(pa.array(row)), n.take(pa.array(row)).cast(pa.int32()), pa.array(np.concatenate(pos))], ["h", "sig", "n", "pos"])
-
-    lists = one.select("sig", "n", "zone").mapInArrow(listed, "h long, sig long, n int, pos int")
-    by_h = W.partitionBy("h")
-    lists = lists.withColumn("lo", F.min("sig").over(by_h)).withColumn("hi", F.max("sig").over(by_h)).where("lo < hi").drop("lo", "hi")
-    lists = written(lists, "near-lists")
-    n_rows = lists.count()
-
-    edges: DataFrame | None = None
-    comp: DataFrame | None = None
-    width = math.log(100 / percent)
-    for r in range(rounds + 1 if n_rows else 0):
-        cur = lists.withColumn("c", F.col("sig")) if comp is None else lists.join(comp, F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sig")).drop("v")
-        open_ = cur.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("cs")).where("cs > 1")
-        cross = 0
-        if r:
-            open_ = written(open_, "near-open")
-            cross = open_.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-            if not cross:
-                break
-        last_round = r > 0 and (r == rounds or cross <= 2 * n_rows + 500_000)
-        if last_round:
-            left = cur.join(open_.select("h"), "h")
-            x, y = left.alias("x"), left.alias("y")
-            need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-            most = 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
-            pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent) & (most >= need))
-            pairs = pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-        else:
-            blk = F.floor(F.log(F.col("n")) / width + 0.5 * (r % 2))
-            cur = cur.withColumn("blk", blk)
-            rank = F.xxhash64(F.lit(r), F.col("sig"))
-            lead = cur.groupBy("h", "blk").agg(F.min(F.struct(rank.alias("k"), "sig", "c", "n")).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "blk", F.col("l.sig").alias("a"), F.col("l.c").alias("ac"), F.col("l.n").alias("an"))
-            pairs = cur.join(lead, ["h", "blk"]).where((F.col("sig") != F.col("a")) & (F.col("c") != F.col("ac")) & _fits(F.col("n"), F.col("an"), percent)).select("a", F.col("sig").alias("b")).distinct()
-        good = written(verified(docs, written(pairs, "near-pairs"), sets, n_words, percent), "near-links")
-        edges = good if edges is None else edges.union(good)
-        comp = components(edges)
-        if last_round:
-            break
+    some = sets_all.where("sig is not null")
+    sets = written(some.groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("k")), "near-reps")
+    extra = some.select("doc_id", "sig").join(sets.where("k > 1"), "sig").where(~F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(F.col("doc_id").alias("xd"), F.col("sig").alias("xs"))
+    one = some.join(sized(extra, 1_000_000), F.col("doc_id").eqNullSafe(F.col("xd")) & (F.col("sig") == F.col("xs")), "left_anti")
+    lists = listed(one, percent, hot)
+    plain = written(sets_all.select("doc_id", F.col("n").alias("n_shingles"), "sig"), "near-plain")
+    discard(sets_all)
+    least = lambda x, y: 1 + F.floor(F.least(x, y) / EXTRA)
+
+    def run(pairs: DataFrame) -> DataFrame:
+        todo = written(pairs.select("a", "b"), "near-pairs")
+        out = tested(docs, todo, sets, n_words, percent)
+        discard(todo)
+        return out
+
+    def joined(tests: list[DataFrame]) -> DataFrame | None:
+        links = reduce(DataFrame.union, [t.where("linked").select("a", "b") for t in tests])
+        return None if links.isEmpty() else components(links)
+
+    stars = _stars(_with_component(lists, None), ["h"], percent)
+    first = run(stars.where(F.col("k") >= least(F.col("an"), F.col("bn"))))
+    tests, comp = [first], joined([first])
+    for _ in range(1, levels):
+        entries, _ = differences(followers(tests), percent)
+        more = run(_stars(_open(written(_with_component(entries, comp), "near-open"), ["lead", "h"]), ["lead", "h"], percent))
+        tests.append(more)
+        comp = joined(tests)
+    follow = written(followers(tests), "near-follow")
+    index, probe = differences(follow, percent)
+    index, probe = _with_component(index, comp), _with_component(probe, comp)
+    x, y = probe.alias("x"), index.alias("y")
+    alike = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.cls") == F.col("y.cls")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent))
+    alike = alike.groupBy("x.lead", F.col("x.sig").alias("p"), F.col("y.sig").alias("q")).agg(F.count("*").alias("k"), F.first(F.least("x.few", "y.few", F.greatest("x.share", "y.share"))).alias("few")).where("k >= few")
+    alike = alike.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    follow = follow.groupBy(F.col("sig").alias("fs")).agg(F.max(F.struct("linked", "o", "lead")).alias("l")).select("fs", "l.lead")
+
+    # sets of different leaders, in the lists: the followers of one leader are one entry (in parts of about 256)
+    cur = _open(_with_component(lists.select("h", "sig", "n"), comp), ["h"]).join(sized(follow, 400_000), F.col("sig") == F.col("fs"), "left")
+    cur = cur.select("h", "sig", "n", "c", F.coalesce("lead", "sig").alias("lead"))
+    cur = cur.withColumn("part", F.pmod(F.xxhash64("sig"), F.ceil(F.count("*").over(W.partitionBy("h", "lead")) / 256)))
+    entry = cur.groupBy("h", "lead", "part").agg(F.collect_list(F.struct("sig", "n", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    entry = written(entry.withColumn("leads", F.min("lead").over(W.partitionBy("h")) != F.max("lead").over(W.partitionBy("h"))).where("leads"), "near-entries")
+    x, y = entry.alias("x"), entry.alias("y")
+    apart = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))  # else all are in one component
+    near = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lead") < F.col("y.lead")) & apart & near).select(F.col("x.m").alias("x"), F.explode("y.m").alias("y")).select(F.explode("x").alias("x"), "y")
+    across = across.where((F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent))
+    across = across.groupBy(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).agg(F.count("*").alias("k"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn")).where(F.col("k") >= least(F.col("xn"), F.col("yn"))).select("a", "b")
+
+    tests.append(run(alike.union(across).distinct()))
+    comp = joined(tests)
 
     if comp is None:
         named = sets.select("sig", F.col("rep_id").alias("name"))
@@ -196,7 +275,6 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
         low = c.groupBy("c").agg(F.min("rep_id").alias("name"))
         named = written(c.join(low, "c").select("sig", "name"), "near-names")
         named = sets.join(named, "sig", "left").select("sig", F.coalesce("name", "rep_id").alias("name"))
-    plain = sets_all.select("doc_id", F.col("n").alias("n_shingles"), "sig")
     # only sets of several documents, or linked ones, have another name than their document's own id
-    other = sets_all.where("sig is not null").groupBy("sig").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep_id")).join(named, "sig").where("k > 1 or not (name <=> rep_id)").select("sig", "name")
+    other = named.join(sets.select("sig", "k", "rep_id"), "sig").where("k > 1 or not (name <=> rep_id)").select("sig", "name")
     return plain.join(sized(written(other, "near-other"), 500_000), "sig", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))

@@ -32,6 +32,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more. What was made of them has to be written itself."""
+    for df in tables:
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            if "/weftline/" in f:
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
