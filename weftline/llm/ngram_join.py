@@ -16,10 +16,10 @@ from weftline.llm.store import discard, sized, written
 from weftline.llm.words import chunks, mix64, shingles, words
 
 #: Share of the hash space that is listed, so that very common shingles can be put last within it.
-ZONE = 0.22
+ZONE = 0.26
 _CUT = np.uint64(int(ZONE * 2**64))
 #: Of how many shingles a set's list entries make a link certain to show several times: one in this many.
-EXTRA = 25
+EXTRA = 100
 _SIG = np.uint64(0xD6E8FEB86659FD93)
 
 
