@@ -250,7 +250,9 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
     alike = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.cls") == F.col("y.cls")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent))
     alike = alike.groupBy("x.lead", F.col("x.sig").alias("p"), F.col("y.sig").alias("q")).agg(F.count("*").alias("k"), F.first(F.least("x.few", "y.few", F.greatest("x.share", "y.share"))).alias("few")).where("k >= few")
     alike = alike.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    follow = follow.groupBy(F.col("sig").alias("fs")).agg(F.max(F.struct("linked", "o", "lead")).alias("l")).select("fs", "l.lead")
+    # of several leaders the one with most followers counts, so that a group's sets have the same one
+    size = follow.groupBy("lead").agg(F.count("*").alias("k"))
+    follow = follow.select("lead", F.col("sig").alias("fs")).join(size, "lead").groupBy("fs").agg(F.max(F.struct("k", "lead")).alias("l")).select("fs", "l.lead")
 
     # sets of different leaders, in the lists: the followers of one leader are one entry (in parts of about 256)
     cur = _open(_with_component(lists.select("h", "sig", "n"), comp), ["h"]).join(sized(follow, 400_000), F.col("sig") == F.col("fs"), "left")
