@@ -127,3 +127,43 @@ def test_lcs():
         assert n == _brute_lcs(a.tolist(), b.tolist())
         if n:
             assert _brute_lcs(a.tolist(), b[f:e].tolist()) == n
+
+
+def _hits(spark, texts, items):
+    docs = spark.createDataFrame(rows_of(texts), COLUMNS)
+    model = decontam.fit(docs, spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], "item_id long, text string, hits int"))
+    return {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontam.matches(docs, model).collect()}
+
+
+def test_a_copy_behind_nearer_partial_quotes(spark):
+    item = prose(501, 59, "aeinorst").split()
+    other = [prose(510 + i, 160, "bcdfghjk") for i in range(6)]
+    far = [x if i % 4 else "zz" for i, x in enumerate(item)]
+    text = " ".join([other[0], *[" ".join([*item[:24], other[i]]) for i in range(1, 5)], *far, other[5]])
+    partial = " ".join([other[0], *item[:24], other[1]])
+    assert _hits(spark, [text, partial, *other], [" ".join(item)]) == {0: [0], 1: [], **{i: [] for i in range(2, 8)}}
+
+
+def test_stray_words_of_the_item_around_a_copy(spark):
+    item = prose(601, 20, "aeinorst").split()
+    other = [prose(610 + i, 60, "bcdfghjk").split() for i in range(4)]
+    text = [*other[0], item[0], item[1], *other[1][:12], *item[2:-2], *other[2][:12], item[-2], item[-1], *other[3]]
+    assert _hits(spark, [" ".join(text), *[" ".join(o) for o in other]], [" ".join(item)]) == {0: [0], 1: [], 2: [], 3: [], 4: []}
+
+
+def test_bounded_subsequences_are_the_longest():
+    rng = random.Random(8)
+    rule = {"ratio": 0.6, "answer_ratio": 0.5, "answer_words": 5}
+    for _ in range(300):
+        a = np.array([rng.randint(0, 9) for _ in range(rng.randint(3, 14))])
+        b = np.array([rng.randint(0, 30) for _ in range(rng.randint(0, 90))])
+        most, best = int(1.6 * len(a) + 4), 0
+        for s in range(len(b)):
+            n, f, e = decontam.lcs(a, b[s : s + most])
+            tail = a[-min(5, len(a)) :]
+            if n >= 0.6 * len(a) or (n >= 0.5 * len(a) and _brute_lcs(tail.tolist(), b[s + f : s + e].tolist()) >= 0.8 * len(tail)):
+                best = max(best, n)
+        got = decontam.closest(a, b, [j for j in range(len(b)) if b[j] in a], **rule)
+        assert (got[0] if got else 0) == best
+        if got:
+            assert got[3] - got[2] <= most and _brute_lcs(a.tolist(), b[got[2] : got[3]].tolist()) == best

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,10 +132,12 @@ def _latent(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, idf: np.ndarray, bas
     other = np.concatenate(([0.0], np.cumsum(np.where(at == len(idf), idf_else**2, 0.0))))
     own, rest = sq[hi] - sq[lo], other[hi] - other[lo]
     share = np.sqrt(own / np.maximum(own + rest, 1e-12))
-    rows = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))])
-    y = np.zeros((len(lo), basis.shape[1]))
-    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-        y[i] = rows[at[a:b]].sum(axis=0)
+    rows = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    y = np.zeros((len(lo), basis.shape[1]), dtype=np.float32)
+    for k in range(0, len(lo), 512):
+        a, b = lo[k : k + 512, None], hi[k : k + 512, None]
+        i = a + np.arange(SPAN)
+        y[k : k + 512] = rows[np.where(i < b, at[np.minimum(i, len(at) - 1)], len(idf))].sum(axis=1)
     n = np.sqrt((y * y).sum(axis=1, keepdims=True))
     return y / np.maximum(n, 1e-12), share
 
@@ -195,7 +198,47 @@ def lcs(a: np.ndarray, b: np.ndarray, least: int = 0) -> tuple[int, int, int]:
     return n, end - _steps(a[::-1], b[:end][::-1])[1], end
 
 
-def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio: float, answer_ratio: float, answer_words: int, places: int = 3) -> list[tuple[int, int, float, float, bool, int, int]]:
+def _reach(size: int) -> int:
+    """How far a copy or paraphrase of ``size`` words may stretch: it keeps close together, scattered common words don't."""
+    return int(1.6 * size + 4)
+
+
+def closest(item: np.ndarray, b: np.ndarray, starts: list[int], *, ratio: float, answer_ratio: float, answer_words: int) -> tuple[int, bool, int, int] | None:
+    """The longest common subsequence within ``_reach`` words of ``b`` that makes a hit: its length, whether the answer is
+    there, begin and end. Every start in ``starts`` is looked at, but for those that the item's words gained since the last
+    one can't bring up to what is sought."""
+    size, tail, most = len(item), item[-min(answer_words, len(item)) :], _reach(len(item))
+    place: dict[int, int] = {}
+    for i, x in enumerate(item.tolist()):
+        place[x] = place.get(x, 0) | (1 << i)
+    spots = [(j, place[x]) for j, x in enumerate(b.tolist()) if x in place]
+    bits, where = [x for _, x in spots], [j for j, _ in spots]
+    full, sought, best = (1 << size) - 1, _least(size, ratio, answer_ratio), None
+    last, had = 0, None
+    for s in starts:
+        i, e = bisect_left(where, s), bisect_left(where, s + most)
+        if e - i < sought or (had is not None and had + e - last < sought):
+            continue
+        v = full
+        for x in bits[i:e]:
+            u = v & x
+            if u:
+                v = ((v + u) | (v - u)) & full
+        had, last = size - v.bit_count(), e
+        if had < sought:
+            continue
+        n, f, end = lcs(item, b[s : s + most])
+        answer = n >= answer_ratio * size and _steps(tail, b[s + f : s + end])[0] >= 0.8 * len(tail)
+        if n >= ratio * size or answer:
+            best, sought = (n, bool(answer), s + f, s + end), n + 1
+    return best
+
+
+def _least(size: int, ratio: float, answer_ratio: float) -> int:
+    return max(1, int(np.ceil(min(ratio, answer_ratio) * size - 1e-9)))
+
+
+def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio: float, answer_ratio: float, answer_words: int) -> list[tuple[int, int, float, float, bool, int, int]]:
     """Found passages of a chunk: (row, item place, cosine, LCS ratio, whether the answer is there, first byte, end byte)."""
     at = _find(m.vocab, w.hash)
     lo, hi = _blocks(w.first)
@@ -211,31 +254,56 @@ def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio:
     vec, part = _latent(at, lo[some], hi[some], m.idf, m.basis, m.idf_else)
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(0, len(some), 2048):
-        cos = (vec[k : k + 2048] @ m.passages.T) * part[k : k + 2048, None]
-        i, j = np.nonzero(cos >= cosine)
-        pairs.append((some[k + i], m.passage_item[j], cos[i, j]))
+        cos = ((vec[k : k + 2048] * part[k : k + 2048, None].astype(np.float32)) @ m.passages.T).ravel()
+        hit = np.flatnonzero(cos >= cosine)
+        i, j = np.divmod(hit, len(m.passages))
+        pairs.append((some[k + i], m.passage_item[j], cos[hit]))
     near, item_of, cosines = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    # a document's nearest passages to an item show where to look: the subsequence is sought around each
+    if not len(near):
+        return []
+    # every candidate counts: those of a row and an item whose surroundings meet are one region
     row_of = w.doc[lo[near]]
-    order = np.lexsort((-cosines, item_of, row_of))
-    key = row_of[order] * np.int64(len(m.items)) + item_of[order]
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
-    nth = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+    order = np.lexsort((near, row_of, item_of))
+    near, item_of, cosines, row_of = near[order], item_of[order], cosines[order], row_of[order]
+    most = np.array([_reach(len(x)) for x in m.items])[item_of]
+    a, b = np.maximum(w.first[row_of], lo[near] - most), np.minimum(w.first[row_of + 1], hi[near] + most)
+    begin = np.flatnonzero(np.concatenate(([True], (item_of[1:] != item_of[:-1]) | (row_of[1:] != row_of[:-1]) | (a[1:] > b[:-1]))))
+    a, b, item_of, row_of, cosines = a[begin], np.maximum.reduceat(b, begin), item_of[begin], row_of[begin], np.maximum.reduceat(cosines, begin)
     got: dict[tuple[int, int], tuple] = {}
-    for x in order[nth < places].tolist():
-        p, item, row = int(near[x]), int(item_of[x]), int(row_of[x])
-        size, old = len(m.items[item]), got.get((row, item))
-        if old is not None and old[3] >= 0.999:
-            continue
-        a, b = max(int(w.first[row]), int(lo[p]) - size), min(int(w.first[row + 1]), int(hi[p]) + size)
-        n, f, e = lcs(m.items[item], w.hash[a:b], int(answer_ratio * size))
-        r = n / size
-        tail = m.items[item][-min(answer_words, size) :]
-        answer = bool(e > 0 and r >= answer_ratio and _steps(tail, w.hash[a + f : a + e])[0] >= 0.8 * len(tail))
-        # a paraphrase keeps close together; scattered common words don't
-        close = e - f <= 1.6 * size + 4
-        if close and (r >= ratio or (answer and r >= answer_ratio)) and (old is None or r > old[3]):
-            got[row, item] = (row, item, float(cosines[x]), r, answer, int(w.start[a + f] - c.at[row]), int(w.end[a + e - 1] - c.at[row]))
+    mine = np.zeros(len(m.vocab) + 1, dtype=np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], item_of[1:] != item_of[:-1], [True])))
+    for g, h in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        item = int(item_of[g])
+        words_of, times = np.unique(np.searchsorted(m.vocab, m.items[item]), return_counts=True)
+        sizes = b[g:h] - a[g:h]
+        ends = np.cumsum(sizes)
+        flat = at[np.arange(ends[-1]) + np.repeat(a[g:h] - (ends - sizes), sizes)]
+        mine[words_of] = times
+        s = np.flatnonzero(mine[flat])
+        region = np.searchsorted(ends, s, side="right")
+        # no start is a hit's unless its reach has as many of the item's words, each as often as the item at most
+        word = flat[s]
+        by = np.argsort(word, kind="stable")
+        back = np.arange(len(s)) - mine[word[by]]
+        mine[words_of] = 0
+        before = np.full(len(s), -1, dtype=np.int64)
+        before[by] = np.where((back >= 0) & (word[by[np.maximum(back, 0)]] == word[by]), s[by[np.maximum(back, 0)]], -1)
+        low = np.maximum(np.maximum(before, s - _reach(len(m.items[item]))), (ends - sizes)[region] - 1) + 1
+        held = np.cumsum(np.bincount(low, minlength=len(flat) + 1) - np.bincount(s + 1, minlength=len(flat) + 1))
+        size = len(m.items[item])
+        good = held[s] >= _least(size, ratio, answer_ratio)
+        s, region = s[good], region[good]
+        cuts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True]))) if len(s) else ()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            r = int(region[x])
+            first, end, row = int(a[g + r]), int(b[g + r]), int(row_of[g + r])
+            old = got.get((row, item))
+            if old is not None and old[3] >= 0.999:
+                continue
+            found = closest(m.items[item], w.hash[first:end], (s[x:y] - int(ends[r] - sizes[r])).tolist(), ratio=ratio, answer_ratio=answer_ratio, answer_words=answer_words)
+            if found is not None and (old is None or found[0] / size > old[3]):
+                n, answer, f, e = found
+                got[row, item] = (row, item, float(cosines[g + r]), n / size, answer, int(w.start[first + f] - c.at[row]), int(w.end[first + e - 1] - c.at[row]))
     return list(got.values())
 
 
@@ -256,8 +324,8 @@ def matches(
 ) -> DataFrame:
     """doc_id and hits of every row: benchmark items of which its whole text holds a copy or a paraphrase.
 
-    Passages of all documents whose cosine to an item's passage is at least ``cosine`` are candidates. Around each, the
-    longest common subsequence with the item is measured; the document is contaminated if it covers ``ratio`` of the
+    Passages of all documents whose cosine to an item's passage is at least ``cosine`` are candidates. Around every one, the
+    longest common subsequence with the item within 1.6 times its words (and four) is measured; the document is contaminated if it covers ``ratio`` of the
     item's words, or ``answer_ratio`` with most of the item's last ``answer_words`` (the answer) in place. A hit names item, cosine,
     LCS ratio, answer and the bytes (of the lower-cased text) from the first to the last common word. Rows without hits, null and empty texts have
     an empty array; repeated rows agree; empty tables give empty results or no hits."""
