@@ -18,8 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A name that no column of documents has.
-KEY = "join key of the stage"
+#: Names that no column of documents has.
+KEY, TEXT_KEY = "join key of the stage", "text key of the stage"
 
 
 def _row(docs: DataFrame) -> Column:
@@ -27,9 +27,13 @@ def _row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents by whether their id is among ``ids`` (a column ``KEY``); a null id equals a null id. Few ids are broadcast, many are shuffled."""
-    return docs.join(sized(ids, 500_000), F.col("doc_id").eqNullSafe(F.col(f"`{KEY}`")), how)
+def _keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias(KEY), F.col("text_key").alias(TEXT_KEY))
+
+
+def _apart(docs: DataFrame, keys: DataFrame, key: Column, how: str) -> DataFrame:
+    """Documents by whether their id and text (as ``key``) are among ``keys``; a null id equals a null id. Few keys are broadcast, many are shuffled."""
+    return docs.join(sized(keys, 500_000), F.col("doc_id").eqNullSafe(F.col(f"`{KEY}`")) & (key == F.col(f"`{TEXT_KEY}`")), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +43,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links join the document with the smallest id stays; of rows with one id and text, one."""
-    groups = written(ngram_join.near_groups(docs), "stage-groups")
-    away = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(KEY)).distinct()
-    left = _by_id(docs, away, "left_anti")
-    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(KEY))
+    """Of each group that links join the document with the smallest id stays (a null id is the largest; of texts under one id, one);
+    of rows with one id and text, one."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    groups = written(ngram_join.near_groups(docs, key=key), "stage-groups")
+    linked = groups.where("component is not null")
+    stay = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
+    away = _apart(linked.select("doc_id", "text_key").distinct(), _keys(written(stay, "stage-stay")), F.col("text_key"), "left_anti")
+    left = _apart(docs, _keys(written(away, "stage-away")), key, "left_anti")
+    again = written(_keys(groups.groupBy("doc_id", "text_key").count().where("count > 1")), "stage-again")
     if again.isEmpty():
         return left
-    twice = _by_id(left, again, "left_semi").dropDuplicates(["doc_id", "text"])
-    return _by_id(left, again, "left_anti").unionByName(twice)
+    twice = _apart(left, again, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _apart(left, again, key, "left_anti").unionByName(twice)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +77,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(docs, 40)
     a = docs.select(*[f"`{c}`" for c in docs.columns if c not in found])
     rows = a.columns
-    a = a.select("*", F.row_number().over(W.partitionBy("doc_id").orderBy("text")).alias("n of it"))
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text_crc32", "shard", "slot"))
+    # rows of one id are told apart by their text: both sides count within id and checksum, shorter texts first
+    crc = F.crc32(F.col("text").cast("binary"))
+    a = a.withColumn(TEXT_KEY, crc).withColumn("n of it", F.row_number().over(W.partitionBy("doc_id", F.col(f"`{TEXT_KEY}`")).orderBy(F.octet_length("text"), "text")))
+    nth = F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy("size", "shard", "slot"))
     b = written(placed.select(F.col("doc_id").alias(KEY), *found, nth.alias("n of its place")), "stage-slots")
-    return a.join(sized(b, 500_000), F.col("doc_id").eqNullSafe(F.col(f"`{KEY}`")) & (F.col("`n of it`") == F.col("`n of its place`"))).select(*[f"`{c}`" for c in rows], *found)
+    same = F.col("doc_id").eqNullSafe(F.col(f"`{KEY}`")) & F.col(f"`{TEXT_KEY}`").eqNullSafe(F.col("text_crc32")) & (F.col("`n of it`") == F.col("`n of its place`"))
+    return a.join(sized(b, 500_000), same).select(*[f"`{c}`" for c in rows], *found)
 
 
 STAGES: list[tuple[str, Stage]] = [

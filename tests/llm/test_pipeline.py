@@ -8,6 +8,7 @@ import pytest
 from weftline.llm import mixing
 from weftline.llm.queries import queries
 
+from .conftest import COLUMNS, prose
 from .test_ngram import brute
 
 
@@ -82,3 +83,23 @@ def test_no_documents(nothing, spark, sf_dir):
 def test_queries_run(spark, sf_dir, name):
     df = queries()[name](spark, sf_dir)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_only_copies_go_where_ids_are_null_or_repeated(spark, sf_dir):
+    a, b, c, d = (prose(700 + i, 40) for i in range(4))
+    rows = [(5, a), (5, b), (3, a), (None, a), (None, c), (None, d), (None, d), (7, d + " tail"), (8, None), (None, None), (9, b.upper())]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 1, 2, "x") for i, t in rows], COLUMNS).repartition(3)
+    left = Counter((r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, sf_dir).collect())
+    assert left == Counter([(3, a), (5, b), (None, c), (7, d + " tail"), (8, None), (None, None)])
+
+
+def test_shards_keep_texts_of_one_id_apart(spark, sf_dir):
+    from zlib import crc32
+
+    texts = [prose(800 + i, 5 + 3 * i) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 1, 2, "x") for i in (4, None) for t in [*texts, texts[0], None]], COLUMNS).repartition(3)
+    rows = P.shard(spark, docs, sf_dir).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert all(r["size"] == len((r["text"] or "").encode()) + 16 for r in rows)
+    assert all(r["text_crc32"] == (None if r["text"] is None else crc32(r["text"].encode())) for r in rows)
+    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)

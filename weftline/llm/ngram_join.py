@@ -39,10 +39,12 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """doc_id, n (distinct shingles), sig (a hash of the set; null if empty), zone (the set's least hashes, in order) and
+def shingle_sets(docs: DataFrame, n_words: int, percent: int, *, key: Column | None = None) -> DataFrame:
+    """doc_id, ``key`` (a long of the row, if given), n (distinct shingles), sig (a hash of the set; null if empty), zone (the set's least hashes, in order) and
     low (how many of them lie in the listed share of the hash space)."""
 
+    own = [0] if key is None else [0, 2]
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
@@ -54,9 +56,10 @@ def shingle_sets(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
                     low.append(m)
                     sig.append(signature(s) if len(s) else None)
                     zone.append(s[:k])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(low, pa.int64()), _lists(zone)], ["doc_id", "n", "sig", "low", "zone"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.lo, c.hi - c.lo).cast(pa.int64()) for i in own), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(low, pa.int64()), _lists(zone)], [*(batch.schema.names[i] for i in own), "n", "sig", "low", "zone"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(make, "doc_id long, n long, sig long, low long, zone array<bigint>")
+    passed = [] if key is None else [key.alias("text_key")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *passed).mapInArrow(make, f"doc_id long, {'text_key long, ' if passed else ''}n long, sig long, low long, zone array<bigint>")
 
 
 def _fits(x: Column, y: Column, percent: int) -> Column:
@@ -194,7 +197,7 @@ def differences(follow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return index, probe
 
 
-def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: int = 16, levels: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: int = 16, levels: int = 2, key: Column | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of the exact Jaccard join of all documents.
 
     Sets: distinct shingles of ``n_words`` words of the whole text; with fewer words the sequence is the one shingle; a null or blank text
@@ -214,14 +217,17 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
 
     Repeated rows and repeated ids are taken as they come (each text under its id). Null ids join groups but name none.
     An empty table gives an empty result.
+
+    With ``key`` (a long that tells rows of one id apart, such as a hash of the text) the result is doc_id, text_key and component, a
+    number of the component whatever ids it has (null for an empty set).
     """
-    sets_all = written(shingle_sets(docs, n_words, percent), "near-sets")
+    sets_all = written(shingle_sets(docs, n_words, percent, key=key), "near-sets")
     some = sets_all.where("sig is not null")
     sets = written(some.groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("k")), "near-reps")
     extra = some.select("doc_id", "sig").join(sets.where("k > 1"), "sig").where(~F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(F.col("doc_id").alias("xd"), F.col("sig").alias("xs"))
     one = some.join(sized(extra, 1_000_000), F.col("doc_id").eqNullSafe(F.col("xd")) & (F.col("sig") == F.col("xs")), "left_anti")
     lists = listed(one, percent, hot)
-    plain = written(sets_all.select("doc_id", F.col("n").alias("n_shingles"), "sig"), "near-plain")
+    plain = written(sets_all.select("doc_id", *([] if key is None else ["text_key"]), F.col("n").alias("n_shingles"), "sig"), "near-plain")
     discard(sets_all)
     least = lambda x, y: 1 + F.floor(F.least(x, y) / EXTRA)
 
@@ -270,6 +276,10 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
     tests.append(run(alike.union(across).distinct()))
     comp = joined(tests)
 
+    if key is not None:
+        if comp is None:
+            return plain.select("doc_id", "text_key", F.col("sig").alias("component"))
+        return plain.join(sized(comp, 500_000), F.col("sig") == F.col("v"), "left").select("doc_id", "text_key", F.coalesce("c", "sig").alias("component"))
     if comp is None:
         named = sets.select("sig", F.col("rep_id").alias("name"))
     else:
