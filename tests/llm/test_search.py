@@ -167,3 +167,14 @@ def test_bounded_subsequences_are_the_longest():
         assert (got[0] if got else 0) == best
         if got:
             assert got[3] - got[2] <= most and _brute_lcs(a.tolist(), b[got[2] : got[3]].tolist()) == best
+
+
+def test_repeated_queries_have_whole_answers_each(spark):
+    rng = np.random.default_rng(9)
+    ids = [0, 0, 0, *range(1, 21)]
+    x = rng.standard_normal((21, 8))
+    x = [x[i] for i in ids]
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(_frame(spark, ids, x)).collect()]
+    want = _brute(ids, x)
+    assert sorted(g for g in got if g[0] == 0) == sorted((0, n + 1, j) for _ in range(3) for n, (j, _) in enumerate(want[0]))
+    assert sorted(g for g in got if g[0] == 20) == [(20, n + 1, j) for n, (j, _) in enumerate(want[20])]
