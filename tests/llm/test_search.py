@@ -178,3 +178,19 @@ def test_repeated_queries_have_whole_answers_each(spark):
     want = _brute(ids, x)
     assert sorted(g for g in got if g[0] == 0) == sorted((0, n + 1, j) for _ in range(3) for n, (j, _) in enumerate(want[0]))
     assert sorted(g for g in got if g[0] == 20) == [(20, n + 1, j) for n, (j, _) in enumerate(want[20])]
+
+
+def test_paraphrases_in_a_corpus_that_shares_the_words(spark):
+    rng = random.Random(7)
+    item = prose(901, 40, "aeinorst").split()
+    texts = []
+    for i in range(600):
+        w = [x for x in reversed(item) if rng.random() < 1 / 6] + prose(1000 + i, 40, "bcdfghjk").split()
+        texts.append(" ".join(w))
+    for i in range(4):
+        gone = set(rng.sample(range(35), 15))
+        new = prose(2000 + i, 40, "lmpquvwx").split()
+        around = prose(3000 + i, 60, "lmpquvwx").split()
+        texts.append(" ".join([*around[:30], *[new[k] if k in gone else x for k, x in enumerate(item)], *around[30:]]))
+    got = _hits(spark, texts, [" ".join(item)])
+    assert {i for i, h in got.items() if h} == set(range(600, 604))

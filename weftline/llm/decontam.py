@@ -238,17 +238,17 @@ def _least(size: int, ratio: float, answer_ratio: float) -> int:
     return max(1, int(np.ceil(min(ratio, answer_ratio) * size - 1e-9)))
 
 
-def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, share: float, ratio: float, answer_ratio: float, answer_words: int) -> list[tuple[int, int, float, float, bool, int, int]]:
+def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, ratio: float, answer_ratio: float, answer_words: int) -> list[tuple[int, int, float, float, bool, int, int]]:
     """Found passages of a chunk: (row, item place, cosine, LCS ratio, whether the answer is there, first byte, end byte)."""
     at = _find(m.vocab, w.hash)
     lo, hi = _blocks(w.first)
     if not len(lo) or not len(m.items):
         return []
-    # a cosine is at most the share of the passage's norm that lies in the vocabulary: others are skipped
+    # a cosine is at most the share of the passage's norm that lies in the vocabulary: no passage below it can pass
     sq = np.append(m.idf, 0.0)[at] ** 2
     run, rest = np.concatenate(([0.0], np.cumsum(sq))), np.concatenate(([0.0], np.cumsum(np.where(at == len(m.idf), m.idf_else**2, 0.0))))
     own, out = run[hi] - run[lo], rest[hi] - rest[lo]
-    some = np.flatnonzero(own >= share**2 * np.maximum(own + out, 1e-12))
+    some = np.flatnonzero(own >= cosine**2 * np.maximum(own + out, 1e-12) * (1 - 1e-6))
     if not len(some):
         return []
     vec, part = _latent(at, lo[some], hi[some], m.idf, m.basis, m.idf_else)
@@ -316,8 +316,7 @@ def matches(
     model: Latent,
     *,
     keep: list[Column] | None = None,
-    cosine: float = 0.3,
-    share: float = 0.5,
+    cosine: float = 0.2,
     ratio: float = 0.6,
     answer_ratio: float = 0.5,
     answer_words: int = 5,
@@ -338,7 +337,7 @@ def matches(
         for batch in batches:
             for c in chunks(batch.column(at)):
                 hits: list[list[dict]] = [[] for _ in range(c.hi - c.lo)]
-                for row, item, cos, r, answer, a, b in tested(m, c, words(c, signs=True), cosine=cosine, share=share, ratio=ratio, answer_ratio=answer_ratio, answer_words=answer_words):
+                for row, item, cos, r, answer, a, b in tested(m, c, words(c, signs=True), cosine=cosine, ratio=ratio, answer_ratio=answer_ratio, answer_words=answer_words):
                     hits[row].append({"item_id": m.item_ids[item], "cosine": cos, "lcs": r, "answer": answer, "start": a, "end": b})
                 for h in hits:
                     h.sort(key=lambda x: (-x["lcs"], x["item_id"]))
