@@ -5,6 +5,7 @@ A pass is a list of rules, a pattern with what to say for a match; the order of
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 
@@ -162,31 +163,57 @@ def _address(m: re.Match[str]) -> str:
     return " ".join(re.sub(r"(?i)\bwww\b", "w w w", body).split()) + tail
 
 
-def heading_runs(text: str, least: int = 3) -> list[tuple[int, int]]:
-    """Spans of ``least`` or more neighbouring words in capitals."""
+def capital_runs(text: str, word: re.Pattern[str], least: int) -> list[tuple[int, int, int, int]]:
+    """Runs of ``least`` or more neighbouring words (without the signs around them) that ``word`` matches: begin, end, number of the first word, words."""
     spans, run = [], []
-    for t in [*re.finditer(r"\S+", text), None]:
-        if t is not None and re.fullmatch(r"[A-Z]{2,}", t[0].strip(".,:;!?\"'()[]{}")):
+    for k, t in enumerate([*re.finditer(r"\S+", text), None]):
+        if t is not None and word.fullmatch(t[0].strip(".,:;!?\"'()[]{}")):
             run.append(t)
             continue
         if len(run) >= least:
-            spans.append((run[0].start(), run[-1].end()))
+            spans.append((run[0].start(), run[-1].end(), k - len(run), len(run)))
         run = []
     return spans
 
 
+def within(spans: list[tuple[int, int]]) -> Callable[[re.Match[str]], bool]:
+    """Whether a match lies in one of ``spans``, which are in order and apart."""
+    begins = [a for a, _ in spans]
+
+    def inside(m: re.Match[str]) -> bool:
+        i = bisect.bisect_right(begins, m.start()) - 1
+        return i >= 0 and m.end() <= spans[i][1]
+
+    return inside
+
+
+def heading_runs(text: str, least: int = 3) -> list[tuple[int, int, int, int]]:
+    """Runs of ``least`` or more neighbouring words in capitals."""
+    return capital_runs(text, re.compile("[A-Z]{2,}"), least)
+
+
 def _acronyms(text: str) -> str:
-    spans = heading_runs(text)
-    inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in spans)
+    inside = within([(a, b) for a, b, _, _ in heading_runs(text)])
     return re.sub(r"\b[A-Z]{2,5}\b", lambda m: m[0] if m[0] in WORD_ACRONYMS or inside(m) else " ".join(m[0]), text)
 
 
+def roman_context(text: str, at: int) -> str | None:
+    """What the word before place ``at`` makes of a Roman numeral there: ``regnal``, ``cardinal``, or nothing."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    end = at
+    while at and text[at - 1].isascii() and text[at - 1].isalpha():
+        at -= 1
+    word = text[at:end]
+    return "regnal" if word in ROMAN_REGNAL else "cardinal" if word in ROMAN_CARDINAL else None
+
+
 def _roman(m: re.Match[str]) -> str:
-    before = re.search(r"([A-Za-z]+)\s*\Z", m.string[max(0, m.start() - 80) : m.start()])
-    n = roman(m[0]) if before else None
+    context = roman_context(m.string, m.start())
+    n = roman(m[0]) if context else None
     if n is None:
         return m[0]
-    return f"the {ordinal(n)}" if before[1] in ROMAN_REGNAL else cardinal(n) if before[1] in ROMAN_CARDINAL else m[0]
+    return f"the {ordinal(n)}" if context == "regnal" else cardinal(n)
 
 
 Say = str | Callable[[re.Match[str]], str]
@@ -205,6 +232,7 @@ _MONTH = "|".join(sorted(MONTH_OF, key=len, reverse=True))
 _YEAR = r"1\d{3}|20\d{2}"
 _number = lambda s: int(s) if s else None
 
+# fixed values: the patterns of the passes
 #: The passes in the order in which they run: name, rules (pattern, flags, what is said).
 PASSES: list[tuple[str, list[tuple[re.Pattern[str], Say]] | Callable[[str], str]]] = [
     ("metadata", [

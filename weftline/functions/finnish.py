@@ -6,6 +6,7 @@ import bisect
 import re
 from collections.abc import Callable
 
+from weftline.functions.english import capital_runs, within
 from weftline.functions.lexicon_fi import (
     ABBREVIATIONS, ACRONYMS, AFTER, BEFORE, CENTURY_SUFFIXES, DIGIT_PREFIXES, ISMI_STEMS, LATIN, MONTHS, MORPHEME_STEMS, NAMES, NOT_ACRONYMS,
     ORDINAL_AFTER, ORDINAL_BEFORE, REGNAL, ROMAN_NOT, TIO_STEMS, TITLES, UNITS, YEAR_WORDS,
@@ -110,33 +111,26 @@ def roman(s: str) -> int | None:
 
 
 def _romans(text: str) -> str:
+    found = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+    at = [a for a, _ in found]
+
     def say(m: re.Match[str]) -> str:
         n = None if m[0] in ROMAN_NOT else roman(m[0])
         if n is None:
             return m[0]
-        before = [w[0] for w in _WORD.finditer(text[: m.start()])][-1:]
-        after = _WORD.search(text, m.end())
-        counted = (before and (before[0] in REGNAL or before[0] in TITLES or before[0] in ORDINAL_BEFORE)) or (after and after[0] in ORDINAL_AFTER)
-        return ordinal(n) if counted else cardinal(n)
+        i, j = bisect.bisect_left(at, m.start()), bisect.bisect_left(at, m.end())
+        before, after = (found[i - 1][1] if i else None), (found[j][1] if j < len(at) else None)
+        return ordinal(n) if before in REGNAL or before in TITLES or before in ORDINAL_BEFORE or after in ORDINAL_AFTER else cardinal(n)
 
     return re.sub(r"\b[IVXLCDM]{2,}\b", say, text)
 
 
-def heading_runs(text: str, least: int = 3) -> list[tuple[int, int]]:
-    spans, run = [], []
-    for t in [*re.finditer(r"\S+", text), None]:
-        if t is not None and re.fullmatch("[A-ZÅÄÖ]{2,}", t[0].strip(".,:;!?\"'()[]{}")):
-            run.append(t)
-            continue
-        if len(run) >= least:
-            spans.append((run[0].start(), run[-1].end()))
-        run = []
-    return spans
+def heading_runs(text: str, least: int = 3) -> list[tuple[int, int, int, int]]:
+    return capital_runs(text, re.compile("[A-ZÅÄÖ]{2,}"), least)
 
 
 def _unknown_acronyms(text: str) -> str:
-    spans = heading_runs(text)
-    inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in spans)
+    inside = within([(a, b) for a, b, _, _ in heading_runs(text)])
     return re.sub(r"\b[A-Z]{2,4}\b", lambda m: m[0] if m[0] in NOT_ACRONYMS or inside(m) else " ".join(m[0]), text)
 
 
@@ -149,15 +143,18 @@ def governed_case(words: list[str], i: int, n: int, full_years: bool, reach: int
     return next((AFTER[w] for w in words[i : i + reach] if w in AFTER), "nominative")
 
 
-def _numbers(text: str, full_years: bool) -> str:
-    found = [m for m in _NUMBER_OR_WORD.finditer(text)]
+def numbers_with_case(text: str, full_years: bool = False) -> list[tuple[re.Match[str], int, str]]:
+    """Each number of a text (its match and value) with the case that its surroundings ask for."""
+    found = list(_NUMBER_OR_WORD.finditer(text))
     at, words = [m.start() for m in found if m["word"]], [m["word"].lower() for m in found if m["word"]]
+    return [(m, int(m["num"]), governed_case(words, bisect.bisect_left(at, m.start()), int(m["num"]), full_years)) for m in found if m["num"]]
+
+
+def _numbers(text: str, full_years: bool) -> str:
     out, cursor = [], 0
-    for m in found:
-        if m["num"]:
-            n = int(m["num"])
-            out += [text[cursor : m.start()], cardinal(n, governed_case(words, bisect.bisect_left(at, m.start()), n, full_years))]
-            cursor = m.end()
+    for m, n, case in numbers_with_case(text, full_years):
+        out += [text[cursor : m.start()], cardinal(n, case)]
+        cursor = m.end()
     return "".join(out) + text[cursor:]
 
 
@@ -212,6 +209,7 @@ def _loanwords(text: str) -> str:
 
 EMOJI = re.compile("[\U0001f300-\U0001f64f\U0001f680-\U0001f9ff\U0001fa00-\U0001faff\U0001f1e6-\U0001f1ff☀-⛿✂-➰️‍]+")
 
+# fixed values: the patterns of the passes, and those of dates, times and units above
 #: The passes in the order in which they run.
 PASSES: list[tuple[str, Callable[[str], str]]] = [
     ("emoji", lambda t: EMOJI.sub(" ", t)),

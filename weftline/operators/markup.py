@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# fixed values: directives as they are written, and malformed ones
 DIRECTIVE = r"^\{\{expr:(\S+?)(?:\s+([^}]*))?\}\}\s*$"
 LOOSE = r"^\{\{expr:[^}]*\}\}\s*$"
 #: Presets as (exaggeration, cfg).

@@ -29,6 +29,7 @@ def heading(line: Column) -> Column:
     return (F.length(line) > 0) & (F.length(line) <= MAX_HEADING) & ~prose & (line.rlike(HEADING) | line.rlike(ALL_CAPS))
 
 
+# fixed values: the patterns of the cleaning steps
 def remove_page_numbers(t: Column) -> Column:
     return F.regexp_replace(t, r"(?imdU)^\s*(?:page|sivu|s\.?|p\.?)?\s*\d+\s*$", "")
 
@@ -67,19 +68,25 @@ def lines_with_headings(docs: DataFrame, every: int = 5) -> DataFrame:
 
 def split_chapters(lines: DataFrame) -> DataFrame:
     """Chapters of (doc_id, n, line): a heading starts one, text before the first is front matter; chapters without text take no number; a book
-    without any is one whole. Returns doc_id, idx, title, content."""
+    without any is one whole. Returns doc_id, idx, title, content; with a column ``page_no`` also page_start (that of the heading; 1 for front matter)
+    and page_end (that of the next heading, or the book's last)."""
+    paged = "page_no" in lines.columns
+    page = F.col("page_no") if paged else F.lit(None).cast("long")
     w = W.partitionBy("doc_id").orderBy("n")
     line = F.col("line")
-    t = lines.withColumn("h", heading(F.regexp_replace(line, r"(?U)^\s+|\s+$", "")))
+    t = lines.select("doc_id", "n", "line", page.alias("page_no")).withColumn("h", heading(F.regexp_replace(line, r"(?U)^\s+|\s+$", "")))
     t = t.withColumn("part", F.sum(F.col("h").cast("int")).over(w))
-    body = F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("n", "line"))))
-    g = t.groupBy("doc_id", "part").agg(F.max(F.when(F.col("h"), F.trim("line"))).alias("title"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("raw"))
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["line"]), "\n")
+    g = t.groupBy("doc_id", "part").agg(F.max(F.when(F.col("h"), F.trim("line"))).alias("title"), joined(F.when(~F.col("h"), F.struct("n", "line"))).alias("raw"), F.min(F.when(F.col("h"), F.col("page_no"))).alias("page_start"), F.max("page_no").alias("last"))
+    by_part = W.partitionBy("doc_id").orderBy("part")
+    g = g.withColumn("page_end", F.coalesce(F.lead("page_start").over(by_part), F.max("last").over(W.partitionBy("doc_id"))))
     g = g.withColumn("content", clean_text(F.col("raw")))
-    some = g.where(F.col("content") != "")
-    out = some.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("part")) - 1).cast("long").alias("idx"), F.coalesce("title", F.lit(FRONT)).alias("title"), "content")
+    pages = [F.coalesce("page_start", F.lit(1)).cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end")] if paged else []
+    out = g.where(F.col("content") != "").select("doc_id", (F.row_number().over(by_part) - 1).cast("long").alias("idx"), F.coalesce("title", F.lit(FRONT)).alias("title"), "content", *pages)
     none = lines.select("doc_id").distinct().join(out.select("doc_id").distinct(), "doc_id", "left_anti")
-    empty = lines.join(none, "doc_id").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("raw"))
-    return out.unionByName(empty.select("doc_id", F.lit(0).cast("long").alias("idx"), F.lit(WHOLE).alias("title"), clean_text(F.col("raw")).alias("content")))
+    empty = lines.select("doc_id", "n", "line", page.alias("page_no")).join(none, "doc_id").groupBy("doc_id").agg(joined(F.struct("n", "line")).alias("raw"), F.max("page_no").alias("page_end"))
+    pages = [F.lit(1).cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end")] if paged else []
+    return out.unionByName(empty.select("doc_id", F.lit(0).cast("long").alias("idx"), F.lit(WHOLE).alias("title"), clean_text(F.col("raw")).alias("content"), *pages))
 
 
 def number_within(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -113,10 +120,25 @@ def chunks(t: Column, most: int) -> Column:
     return mapped(lambda x: chunk_text(x, most), T.ArrayType(T.StringType()))(t)
 
 
+def split_by_words(t: Column, most: int) -> Column:
+    """A text as chunks of whole words of at most ``most`` characters; a longer word stands alone."""
+    from weftline.functions.sentences import force_split
+
+    return mapped(lambda x: force_split(x, most), T.ArrayType(T.StringType()))(t)
+
+
 def packed(pieces: Column, most: int) -> Column:
-    """Greedy packing as a fold: pieces joined by a blank while they fit. For arrays whose pieces are at most ``most`` long."""
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.length(F.try_element_at(acc, F.lit(-1))) + F.length(s) + 1 <= most),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(" "), s))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    """An array of sentences as chunks of at most ``most`` characters; longer sentences are split by words. Greedy, so each chunk depends on the one before:
+    in one pass over the array, which a fold in SQL would copy at every step."""
+    from weftline.functions.sentences import pack_sentences
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else pack_sentences(a, most) for a in arrays], dtype=object)
+
+    return run(pieces)
+
+
+def capped(chunks_: Column, most: int) -> Column:
+    """The first ``most`` chunks of a chapter; all of them where ``most`` is 0."""
+    return F.slice(chunks_, 1, most) if most > 0 else chunks_
