@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators import signal as G
+from weftline.operators.ranking import placed
 from weftline.plans.registry import query
 from weftline.session import table
 from weftline.sources import derived as D
@@ -146,9 +147,18 @@ def downmix_mono(spark, d):
     return g.where("n = 2").select("clip_id", "i", F.floor(F.col("s") / 2).alias("mono"), F.round("mean", 6).alias("mean"))
 
 
-@query("to_mono_float", _FR + "SELECT clip_id, frame_idx, round(amp / 32768.0::DOUBLE, 9) AS x FROM frame")
+@query("to_mono_float", _FR + """, k AS (SELECT clip_id, frame_idx, (['int16', 'int32', 'uint8', 'float'])[clip_id % 4 + 1] AS kind, amp::DOUBLE AS l, amp / 2.0::DOUBLE AS r FROM frame),
+c AS (SELECT clip_id, frame_idx, kind, CASE kind WHEN 'int16' THEN (l + trunc(r)) / 2 WHEN 'int32' THEN (l * 65536 + trunc(r) * 65536) / 2 WHEN 'uint8' THEN (floor((l + 32768) / 256) + floor((r + 32768) / 256)) / 2 ELSE (l + r) / 2 / 16000 END AS m FROM k),
+p AS (SELECT *, max(abs(m)) OVER (PARTITION BY clip_id) AS peak FROM c)
+SELECT clip_id, frame_idx, round(CASE kind WHEN 'int16' THEN m / 32768.0 WHEN 'int32' THEN m / 2147483648.0 WHEN 'uint8' THEN (m - 128) / 127.0 WHEN 'float' THEN CASE WHEN peak > 1.001 THEN m / peak ELSE m END END, 9)::DOUBLE AS x FROM p""")
 def to_mono_float(spark, d):
-    return D.frames(spark, d).select("clip_id", "frame_idx", F.round(F.col("amp") / 32768.0, 9).alias("x"))
+    left, k = F.col("amp").cast("double"), F.col("clip_id") % 4
+    half = F.when(left / 2 < 0, F.ceil(left / 2)).otherwise(F.floor(left / 2)).cast("double")
+    eight = lambda v: F.floor((v + 32768) / 256).cast("double")
+    two = F.when(k == 0, F.array(left, half)).when(k == 1, F.array(left * 65536, half * 65536)).when(k == 2, F.array(eight(left), eight(left / 2))).otherwise(F.array(left / 16000, left / 2 / 16000))
+    kind = F.element_at(F.array(*map(F.lit, ("int16", "int32", "uint8", "float"))), (k + 1).cast("int"))
+    samples = D.frames(spark, d).select("clip_id", "frame_idx", kind.alias("kind"), two.alias("channels"))
+    return G.mono_float(samples, "clip_id").select("clip_id", "frame_idx", F.round("x", 9).alias("x"))
 
 
 @query("resample_linear", _FR + ", m AS (SELECT clip_id, count(*) AS n FROM frame GROUP BY 1), o AS (SELECT clip_id, n, unnest(range(n * 2 // 3)) AS j FROM m WHERE n > 2), p AS (SELECT *, j * (n - 1) / ((n * 2 // 3 - 1)::DOUBLE) AS x FROM o) SELECT p.clip_id, j, round(a.amp + (coalesce(b.amp, a.amp) - a.amp) * (x - floor(x)), 4) AS y FROM p JOIN frame a ON a.clip_id = p.clip_id AND a.frame_idx = floor(x)::BIGINT LEFT JOIN frame b ON b.clip_id = p.clip_id AND b.frame_idx = floor(x)::BIGINT + 1")
@@ -161,31 +171,39 @@ def resample_linear(spark, d):
     return o.join(a, ["clip_id", "frame_idx"]).select("clip_id", "j", F.round(F.col("amp") + (F.col("next") - F.col("amp")) * (F.col("x") - F.col("frame_idx")), 4).alias("y"))
 
 
-@query("auto_trim", _FR + ", l AS (SELECT clip_id, count(*) AS n, min(frame_idx) FILTER (amp > -14000) AS a, max(frame_idx) FILTER (amp > -14000) AS b FROM frame GROUP BY 1) SELECT clip_id, CASE WHEN n < 5 OR a IS NULL THEN 0 ELSE greatest(0, a - 3) END AS first, CASE WHEN n < 5 OR a IS NULL THEN n - 1 ELSE least(n - 1, b + 3) END AS last FROM l")
+_SP = f"WITH {D.SPEECH_SQL} "
+
+
+@query("auto_trim", _SP + """, f AS (SELECT clip_id, i // 3 AS f, 10 * log10(greatest(avg(x * x), 1e-12)) AS db, count(*) AS n FROM speech GROUP BY ALL),
+l AS (SELECT clip_id, sum(n)::BIGINT AS size, min(f) FILTER (db > -40 AND n = 3) AS a, max(f) FILTER (db > -40 AND n = 3) AS b FROM f GROUP BY clip_id)
+SELECT clip_id, CASE WHEN size < 15 OR a IS NULL THEN 0 ELSE greatest(0, a - 3) * 3 END AS first, CASE WHEN size < 15 OR a IS NULL THEN size ELSE least(size, (b + 1 + 3) * 3) END AS "end" FROM l""")
 def auto_trim(spark, d):
-    loud = F.when(F.col("amp") > -14000, F.col("frame_idx"))
-    g = D.frames(spark, d).groupBy("clip_id").agg(F.count("*").alias("n"), F.min(loud).alias("a"), F.max(loud).alias("b"))
-    keep = (F.col("n") < 5) | F.col("a").isNull()
-    return g.select("clip_id", F.when(keep, 0).otherwise(F.greatest(F.lit(0), F.col("a") - 3)).alias("first"), F.when(keep, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.col("b") + 3)).alias("last"))
+    return G.auto_trim(D.speech(spark, d), D.SPEECH_RATE)
 
 
-@query("trim_chunk_silence", _FR + ", l AS (SELECT clip_id, count(*) AS n, min(frame_idx) FILTER (amp > -15000) AS a, max(frame_idx) FILTER (amp > -17000) AS b FROM frame GROUP BY 1) SELECT clip_id, CASE WHEN a IS NULL THEN 0 ELSE greatest(0, a - 1) END AS first, CASE WHEN a IS NULL THEN n - 1 ELSE least(n - 1, b + 3) END AS last FROM l")
+@query("trim_chunk_silence", _SP + """, z AS (SELECT clip_id, count(*) AS size FROM speech GROUP BY 1), q AS (SELECT clip_id, i, size, 20 * log10(greatest(abs(x), 1e-6)) AS db FROM speech JOIN z USING (clip_id)),
+l AS (SELECT clip_id, any_value(size) * 10 AS ms, coalesce(min(i) FILTER (db >= -45) * 10, any_value(size) * 10) AS lead, coalesce(min(size - 1 - i) FILTER (db >= -55) * 10, any_value(size) * 10) AS tail FROM q GROUP BY clip_id),
+b AS (SELECT clip_id, ms, greatest(0, lead - 30) AS s, ms - greatest(0, tail - 100) AS e FROM l)
+SELECT clip_id, CASE WHEN e <= s THEN 0 ELSE s END AS start_ms, CASE WHEN e <= s THEN ms ELSE e END AS end_ms FROM b""")
 def trim_chunk_silence(spark, d):
-    f = F.col("frame_idx")
-    g = D.frames(spark, d).groupBy("clip_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("amp") > -15000, f)).alias("a"), F.max(F.when(F.col("amp") > -17000, f)).alias("b"))
-    none = F.col("a").isNull()
-    return g.select("clip_id", F.when(none, 0).otherwise(F.greatest(F.lit(0), F.col("a") - 1)).alias("first"), F.when(none, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.col("b") + 3)).alias("last"))
+    return G.trim_chunk_silence(D.speech(spark, d), D.SPEECH_RATE)
 
 
-@query("detect_nonsilent", _FR + ", t AS (SELECT clip_id, frame_idx, CASE WHEN frame_idx - lag(frame_idx) OVER w <= 4 THEN 0 ELSE 1 END AS cut FROM frame WHERE amp > -12000 WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)), r AS (SELECT *, sum(cut) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS run FROM t) SELECT clip_id, min(frame_idx) AS first, max(frame_idx) AS last FROM r GROUP BY clip_id, run")
+@query("detect_nonsilent", _SP + """, z AS (SELECT clip_id, count(*) * 10 AS ms FROM speech GROUP BY 1),
+w AS (SELECT a.clip_id, a.i, 10 * log10(greatest(avg(b.x * b.x), 1e-12)) AS db, count(*) AS n FROM speech a JOIN speech b ON a.clip_id = b.clip_id AND b.i BETWEEN a.i AND a.i + 29 GROUP BY ALL),
+ok AS (SELECT a.clip_id, a.i, NOT EXISTS (SELECT 1 FROM w WHERE w.clip_id = a.clip_id AND w.n = 30 AND w.db <= -40 AND a.i BETWEEN w.i AND w.i + 29) AS loud FROM speech a),
+r AS (SELECT clip_id, i, i - row_number() OVER (PARTITION BY clip_id ORDER BY i) AS g FROM ok WHERE loud)
+SELECT clip_id, min(i) * 10 AS start_ms, (max(i) + 1) * 10 AS end_ms FROM r GROUP BY clip_id, g""")
 def detect_nonsilent(spark, d):
-    return G.runs(D.frames(spark, d), "clip_id", "frame_idx", F.col("amp") > -12000, 4)
+    return G.detect_nonsilent(D.speech(spark, d), D.SPEECH_RATE)
 
 
-@query("emotion_slice_bounds", f"WITH {D.SEGMENTS_SQL} SELECT seg_idx, a, least(b, 40000000) AS b, least(b, 40000000) - a < 1600 AS too_short FROM (SELECT seg_idx, s_ms * 16 AS a, e_ms * 16 AS b FROM seg)")
+@query("emotion_slice_bounds", f"WITH {D.SEGMENTS_SQL}, z AS (SELECT source_id, (max(e_ms) - 9000) * 16 AS size FROM seg GROUP BY 1) SELECT seg_idx, least(s_ms * 16, size) AS a, least(e_ms * 16, size) AS b, least(e_ms * 16, size) - least(s_ms * 16, size) < 1600 AS too_short FROM seg JOIN z USING (source_id)")
 def emotion_slice_bounds(spark, d):
-    s = D.segments(spark, d).select("seg_idx", (F.col("s_ms") * 16).alias("a"), F.least(F.col("e_ms") * 16, F.lit(40000000)).alias("b"))
-    return s.withColumn("too_short", F.col("b") - F.col("a") < 1600)
+    """Slices of clips that end before their last segments do."""
+    s = D.segments(spark, d)
+    size = s.groupBy("source_id").agg(((F.max("e_ms") - 9000) * 16).alias("size"))
+    return G.slice_bounds(s.join(size, "source_id"), 16000).select("seg_idx", "a", "b", "too_short")
 
 
 @query("lr_schedule", "SELECT p_partkey, round(CASE WHEN p_partkey < 100 THEN p_partkey / 100.0 ELSE greatest(0.0, 0.5 * (1 + cos(pi() * least(1.0, (p_partkey - 100) / 900.0)))) END, 6)::DOUBLE AS factor FROM part")
@@ -221,16 +239,19 @@ def parallel_eta(spark, d):
     return table(spark, d, "events").select("event_id", F.round((1000 - e % 1000) / F.greatest(e % 1000 / F.greatest((e % 77).cast("double"), F.lit(0.1)), F.lit(0.01)), 6).alias("eta"))
 
 
-@query("chunk_cap", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
+@query("chunk_cap", r"""SELECT doc_id, s.k - 1 AS k, s.t AS chunk FROM (SELECT doc_id, unnest(a[:5]) AS s FROM (SELECT doc_id, [struct_pack(k := i, t := x) for x, i in
+  [y for y in string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) if trim(y) <> '']] AS a FROM documents))""")
 def chunk_cap(spark, d):
-    r = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("source", "doc_id").withColumn("r", r).where("r <= 5").drop("r")
+    """At most five chunks of each chapter."""
+    from weftline.operators.text import capped, simple_sentences
+
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(capped(simple_sentences(F.col("text")), 5)).alias("k", "chunk"))
+    return c.select("doc_id", F.col("k").cast("long").alias("k"), "chunk")
 
 
-@query("list_packs_sorted", "SELECT p_name, p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM part ORDER BY lower(p_name), p_partkey LIMIT 100")
+@query("list_packs_sorted", "SELECT p_name, p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM part")
 def list_packs_sorted(spark, d):
-    top = table(spark, d, "part").orderBy(F.lower("p_name"), "p_partkey").limit(100)
-    return top.select("p_name", "p_partkey", F.row_number().over(W.orderBy(F.lower("p_name"), "p_partkey")).alias("place"))
+    return placed(table(spark, d, "part").select("p_name", "p_partkey"), F.lower("p_name"), "p_partkey")
 
 
 @query("longest_first", "SELECT n_name, row_number() OVER (ORDER BY length(n_name) DESC, n_name) AS place FROM nation")

@@ -76,6 +76,20 @@ FRAMES_SQL = """frame AS (SELECT event_id % 40 AS clip_id, event_id // 40 AS fra
   least(greatest(CAST(floor(value * 400 - 20000) AS BIGINT), -32768), 32767) AS amp FROM events)"""
 
 
+#: Samples a second of ``speech``.
+SPEECH_RATE = 100
+
+
+def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of clips with silent stretches, 100 a second: clip_id, i, x in [-1, 1]."""
+    i, q = F.col("frame_idx"), (F.col("frame_idx") + F.col("clip_id") * 7) % 90
+    quiet = (q < 22 + F.col("clip_id") % 30) | (F.col("clip_id") == 39)
+    return frames(spark, sf_dir).select("clip_id", i.alias("i"), (F.when(quiet, F.floor(F.col("amp") / 1024)).otherwise(F.col("amp")) / 32768.0).alias("x"))
+
+
+SPEECH_SQL = f"""{FRAMES_SQL}, speech AS (SELECT clip_id, frame_idx AS i, CASE WHEN (frame_idx + clip_id * 7) % 90 < 22 + clip_id % 30 OR clip_id = 39 THEN floor(amp / 1024) ELSE amp END / 32768.0::DOUBLE AS x FROM frame)"""
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress lines of jobs in eight shapes: job_id, line_no, line."""
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
