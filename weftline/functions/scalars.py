@@ -101,6 +101,14 @@ def char_label(n: Column) -> Column:
     return F.when(n < 26, one(n)).otherwise(F.concat(one(F.floor(n / 26) - 1), one(n % 26)))
 
 
+def description_prefix(text: Column) -> Column:
+    """A voice's description in parentheses, to stand before a text: one outer pair that is there already is not doubled; blank ones say nothing."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = strip(F.coalesce(text, F.lit("")))
+    inner = F.when(t.startswith("(") & t.endswith(")"), strip(F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))))).otherwise(t)
+    return F.when(inner == "", "").otherwise(F.concat(F.lit("("), inner, F.lit(")")))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
+from weftline.plans import cleaning_sql as Q
 from weftline.plans.registry import query
 from weftline.session import table
 from weftline.sources import derived as D
@@ -202,10 +203,12 @@ def build_issue_url(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("https://issues.example.org/new?title="), F.url_encode(F.concat("p_name", F.lit(" #"), F.col("p_size").cast("string")))).alias("url"))
 
 
-@query("description_prefix", r"SELECT doc_id, CASE WHEN s = '' THEN '' ELSE '(' || s || ')' END AS prefix FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 60), '[()]', '', 'g'), '\s+', ' ', 'g')) AS s FROM documents)")
+@query("description_prefix", r"""SELECT doc_id, CASE WHEN s = '' THEN '' WHEN starts_with(s, '(') AND ends_with(s, ')') AND length(s) > 1 THEN CASE WHEN trim(s[2:-2]) = '' THEN '' ELSE '(' || trim(s[2:-2]) || ')' END ELSE '(' || s || ')' END AS prefix
+FROM (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN ' ( ' || text || ' ) ' WHEN 1 THEN text || ' (low)' WHEN 2 THEN '  (  ) ' ELSE text END, chr(10) || chr(9) || chr(13) || ' ') AS s FROM documents)""")
 def description_prefix(spark, d):
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 60), "[()]", ""), r"\s+", " "))
-    return table(spark, d, "documents").select("doc_id", F.when(s == "", "").otherwise(F.concat(F.lit("("), s, F.lit(")"))).alias("prefix"))
+    k, t = F.col("doc_id") % 4, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit(" ( "), t, F.lit(" ) "))).when(k == 1, F.concat(t, F.lit(" (low)"))).when(k == 2, "  (  ) ").otherwise(t)
+    return table(spark, d, "documents").select("doc_id", S.description_prefix(said).alias("prefix"))
 
 
 @query("short_audio_guard", f"""WITH {D.STATS_SQL} SELECT job, count(*) FILTER (input_chars >= 50 AND audio_ms < 40 * input_chars) AS suspect, max(audio_ms) AS kept_audio_ms, arg_max(n, audio_ms * 1000000 - n) AS kept_n FROM stats GROUP BY job""")
@@ -223,13 +226,9 @@ def filter_speaker_character(spark, d):
     return export_filter(t, "SPEAKER_02", "CHAR_B").select("source_id", "turn_idx", "speaker", "character")
 
 
-@query("looks_like_heading", r"""SELECT doc_id, n, length(s) <= 80 AND NOT (regexp_matches(s, '[0-9A-Za-z_]\.\s+[0-9A-Za-z_].*\s+[0-9A-Za-z_]') AND len([x for x in regexp_split_to_array(substring(s, instr(s, '.') + 1), '\s+') if x <> '']) > 4)
-  AND (regexp_matches(s, '(?i)^(luku|chapter|osa|part|kapitel)\s+[0-9]') OR regexp_matches(s, '^[0-9]{1,3}[.)]\s+[0-9A-Za-z_]') OR regexp_matches(s, '(?i)^[ivxlc]+[.)]\s+[0-9a-z_]') OR regexp_full_match(s, '[A-Z\s]{4,50}')) AS heading
-FROM (SELECT doc_id, n, trim(l) AS s FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS n FROM
- (SELECT doc_id, [CASE WHEN i % 5 = 0 THEN 'Chapter ' || i ELSE x END for x, i in string_split(text, chr(10))] AS ls FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')))) WHERE s <> ''""")
+@query("looks_like_heading", f"WITH {Q.LINES} SELECT doc_id, n, {Q.heading('s')} AS heading FROM (SELECT doc_id, n, trim(line) AS s FROM l) WHERE s <> ''")
 def looks_like_heading(spark, d):
     from weftline.operators.text import heading, lines_with_headings
 
-    ls = lines_with_headings(table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")))
     s = F.trim("line")
-    return ls.where(s != "").select("doc_id", "n", heading(s).alias("heading"))
+    return lines_with_headings(table(spark, d, "documents")).where(s != "").select("doc_id", "n", heading(s).alias("heading"))

@@ -7,45 +7,35 @@ from pyspark.sql import functions as F
 
 from weftline.operators import markup as M
 from weftline.operators import text as X
+from weftline.plans import cleaning_sql as Q
 from weftline.plans.registry import query
 from weftline.session import spread, table
 
-_ASCII = r"regexp_full_match(text, '[\x00-\x7F]*')"
-_RAW = r"regexp_replace(text, '([a-z]{3})([a-z]{3} )', '\1-' || chr(10) || '\2')"
-
-
 def _raw(spark, d):
-    """ASCII documents with a page number after each paragraph and a hyphen at a line end."""
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    """Documents with a page number after each paragraph, and hyphens at line ends."""
     t = F.regexp_replace(F.col("text"), "\n", "\n Page 12 \n\n\n")
-    return docs.select("doc_id", F.concat(t, F.lit("\nend-\nof the li-\nne "), (F.col("doc_id") % 9).cast("string"), F.lit("-\nAb")).alias("raw"))
+    return table(spark, d, "documents").select("doc_id", F.concat(t, F.lit("\nend-\nof the li-\nne "), (F.col("doc_id") % 9).cast("string"), F.lit("-\nAb\u00ad\n cd")).alias("raw"))
 
 
-_RAW_SQL = r"""raw AS (SELECT doc_id, replace(text, chr(10), chr(10) || ' Page 12 ' || chr(10) || chr(10) || chr(10)) || chr(10) || 'end-' || chr(10) || 'of the li-' || chr(10) || 'ne ' || doc_id % 9 || '-' || chr(10) || 'Ab' AS r
-  FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')),
-p AS (SELECT doc_id, r, regexp_replace(r, '(?im)^\s*(?:page|sivu|s\.?|p\.?)?\s*[0-9]+\s*$', '', 'g') AS t FROM raw)"""
-_HYPH = r"regexp_replace(regexp_replace({0}, '([a-zA-Z])-[ \t]*\n\s*([a-z])', '\1\2', 'g'), '([0-9A-Za-z_])-[ \t]*\n\s*([A-Z0-9a-z])', '\1-\2', 'g')"
-_PARAS = r"""array_to_string([trim(regexp_replace(replace(x, chr(10), ' '), ' {{2,}}', ' ', 'g')) for x in regexp_split_to_array({0}, '\n{{2,}}')], chr(10) || chr(10))"""
+_RAW_SQL = """raw AS (SELECT doc_id, replace(text, chr(10), chr(10) || ' Page 12 ' || chr(10) || chr(10) || chr(10)) || chr(10) || 'end-' || chr(10) || 'of the li-' || chr(10) || 'ne ' || doc_id % 9 || '-' || chr(10) || 'Ab' || chr(173) || chr(10) || ' cd' AS r FROM documents)"""
 
 
-@query("remove_page_numbers", f"WITH {_RAW_SQL} SELECT doc_id, md5(t) AS digest FROM p")
+@query("remove_page_numbers", f"WITH {_RAW_SQL} SELECT doc_id, md5({Q.without_pages('r')}) AS digest FROM raw")
 def remove_page_numbers(spark, d):
     return _raw(spark, d).select("doc_id", F.md5(X.remove_page_numbers(F.col("raw")).cast("binary")).alias("digest"))
 
 
-@query("fix_hyphenation", f"WITH {_RAW_SQL} SELECT doc_id, {_HYPH.format('r')} AS t FROM raw")
+@query("fix_hyphenation", f"WITH {_RAW_SQL} SELECT doc_id, {Q.hyphens('r')} AS t FROM raw")
 def fix_hyphenation(spark, d):
     return _raw(spark, d).select("doc_id", X.fix_hyphenation(F.col("raw")).alias("t"))
 
 
-@query("normalize_ws", rf"""WITH {_RAW_SQL}, a AS (SELECT doc_id, regexp_replace(regexp_replace(r, '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM raw)
-SELECT doc_id, regexp_replace(array_to_string([replace(x, chr(10), ' ') for x in regexp_split_to_array(t, '\n{{2,}}')], chr(10) || chr(10)), ' {{2,}}', ' ', 'g') AS t FROM a""")
+@query("normalize_ws", f"WITH {_RAW_SQL} SELECT doc_id, {Q.blanks('r')} AS t FROM raw")
 def normalize_ws(spark, d):
     return _raw(spark, d).select("doc_id", X.normalize_whitespace(F.col("raw")).alias("t"))
 
 
-@query("clean_text", rf"""WITH {_RAW_SQL}, h AS (SELECT doc_id, {_HYPH.format('t')} AS t FROM p), a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM h)
-SELECT doc_id, regexp_replace(array_to_string([replace(x, chr(10), ' ') for x in regexp_split_to_array(t, '\n{{2,}}')], chr(10) || chr(10)), ' {{2,}}', ' ', 'g') AS t FROM a""")
+@query("clean_text", f"WITH {_RAW_SQL} SELECT doc_id, {Q.clean('r')} AS t FROM raw")
 def clean_text(spark, d):
     return _raw(spark, d).select("doc_id", X.clean_text(F.col("raw")).alias("t"))
 
@@ -64,21 +54,21 @@ def split_sentences(spark, d):
 _CHUNKS = 300
 
 
-@query("pack_chunks", r"""WITH s AS (SELECT doc_id, [left(x, 290) for x in string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) if trim(x) <> ''] AS a FROM documents)
-SELECT doc_id, len(c) AS chunks, list_max([length(x) for x in c]) AS longest, md5(array_to_string(c, '|')) AS digest FROM
- (SELECT doc_id, list_reduce(a, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + length(x[1]) + 1 <= 300 THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[])) AS c
-  FROM (SELECT doc_id, [[x] for x in a] AS a FROM s WHERE len(a) > 0))""")
+_SENTENCES = r"[x for x in string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) if trim(x) <> '']"
+
+
+@query("pack_chunks", f"""WITH s AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM (SELECT doc_id, {_SENTENCES} AS a FROM documents)),
+f AS (SELECT doc_id, i, CASE WHEN length(x) > 300 THEN [[chr(1) || y] for y in {Q.by_words('x', 300)}] ELSE [[x]] END AS p FROM s),
+a AS (SELECT doc_id, flatten(list(p ORDER BY i)) AS a FROM f GROUP BY doc_id), c AS (SELECT doc_id, [replace(x, chr(1), '') for x in {Q.greedy('a', 300)}] AS c FROM a)
+SELECT doc_id, len(c) AS chunks, list_max([length(x) for x in c]) AS longest, md5(array_to_string(c, '|')) AS digest FROM c""")
 def pack_chunks(spark, d):
-    pieces = F.transform(X.simple_sentences(F.col("text")), lambda x: F.substring(x, 1, 290))
-    c = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.packed(pieces, _CHUNKS).alias("c")).where(F.size("c") > 0)
+    c = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.packed(X.simple_sentences(F.col("text")), _CHUNKS).alias("c")).where(F.size("c") > 0)
     return c.select("doc_id", F.size("c").cast("long").alias("chunks"), F.array_max(F.transform("c", F.length)).cast("long").alias("longest"), F.md5(F.array_join("c", "|").cast("binary")).alias("digest"))
 
 
-@query("force_split", r"""WITH w AS (SELECT doc_id, [[x] for x in regexp_split_to_array(trim(text), '\s+') if x <> ''] AS a FROM documents WHERE length(text) < 2000)
-SELECT doc_id, list_reduce(a, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + length(x[1]) + 1 <= 100 THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[]))::VARCHAR[] AS parts FROM w WHERE len(a) > 0""")
+@query("force_split", f"""SELECT doc_id, parts FROM (SELECT doc_id, ({Q.by_words('text', 100)})::VARCHAR[] AS parts FROM documents) WHERE len(parts) > 0""")
 def force_split(spark, d):
-    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
-    return table(spark, d, "documents").where("length(text) < 2000").select("doc_id", X.packed(words, 100).alias("parts")).where(F.size("parts") > 0)
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.split_by_words(F.col("text"), 100).alias("parts")).where(F.size("parts") > 0)
 
 
 @query("chunk_documents")
@@ -88,11 +78,12 @@ def chunk_documents(spark, d):
 
 @query("prepare_chunks")
 def prepare_chunks(spark, d):
+    """All chunks of the English documents as they are spoken."""
     from weftline.functions import scalars as S
     from weftline.operators.normalize import spoken
 
-    t = spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")).select("doc_id", F.posexplode(F.slice(X.chunks(spoken(S.sentence_start(F.col("text")), "en"), _CHUNKS), 1, 20)).alias("chunk_idx", "chunk"))
-    return t
+    docs = spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(X.chunks(spoken(S.sentence_start(F.col("text")), "en"), _CHUNKS)).alias("chunk_idx", "chunk"))
 
 
 @query("strip_emoji", "SELECT p_partkey, trim(p_name) || ' ' || p_size AS t FROM part")
@@ -102,23 +93,18 @@ def strip_emoji(spark, d):
     return table(spark, d, "part").select("p_partkey", F.regexp_replace(F.concat("p_name", F.lit("\U0001f600\U0001f680"), F.col("p_size").cast("string")), EMOJI, " ").alias("t"))
 
 
-@query("book_totals", "SELECT source, count(*) AS chapters, sum(length(text))::BIGINT AS chars, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE length(text) < 1000 GROUP BY source")
+@query("book_totals", "SELECT source, doc_id // 50 AS book, count(*) AS chapters, sum(length(text))::BIGINT AS chars, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY ALL")
 def book_totals(spark, d):
-    g = table(spark, d, "documents").where("length(text) < 1000").groupBy("source").agg(F.count("*").alias("chapters"), F.sum(F.length("text")).alias("chars"), F.expr("listagg(text, '\n\n') within group (order by doc_id)").alias("t"))
-    return g.select("source", "chapters", "chars", F.md5(F.col("t").cast("binary")).alias("digest"))
+    """Books of a source's documents, up to fifty chapters each."""
+    book = F.floor(F.col("doc_id") / 50).alias("book")
+    g = table(spark, d, "documents").groupBy("source", book).agg(F.count("*").alias("chapters"), F.sum(F.length("text")).alias("chars"), F.expr("listagg(text, '\n\n') within group (order by doc_id)").alias("t"))
+    return g.select("source", "book", "chapters", "chars", F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query("split_chapters", r"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, [CASE WHEN i % 5 = 0 THEN 'Chapter ' || i ELSE x END for x, i in string_split(text, chr(10))] AS ls
-  FROM documents WHERE regexp_full_match(text, '[a-zA-Z0-9 .,\n]*') AND NOT regexp_matches(text, '(?m)^[A-Z\s]{4,50}$') AND NOT regexp_matches(text, '(?im)^\s*(([ivxlc]+|[0-9]{1,3})[.)]\s|(page|sivu|s\.?|p\.?)?\s*[0-9]+\s*$|(luku|chapter|osa|part|kapitel)\s+[0-9])'))),
-h AS (SELECT *, n % 5 = 4 AS h, (n + 1) // 5 AS part FROM l),
-g AS (SELECT doc_id, part, max(CASE WHEN h THEN line END) AS title, trim(regexp_replace(regexp_replace(array_to_string([regexp_replace(replace(x, chr(10), ' '), ' {2,}', ' ', 'g') for x in regexp_split_to_array(regexp_replace(regexp_replace(coalesce(string_agg(rtrim(line), chr(10) ORDER BY n) FILTER (NOT h), ''), '^\s+|\s+$', '', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{2,}')], chr(10) || chr(10)), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS content FROM h GROUP BY ALL)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx, coalesce(title, 'Alkusanat') AS title, content FROM g WHERE content <> ''""")
+@query("split_chapters", f"""WITH {Q.LINES}, {Q.CHAPTERS}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx, coalesce(title, 'Alkusanat') AS title, content FROM c UNION ALL SELECT doc_id, 0, 'Kirja', content FROM w WHERE content <> ''""")
 def split_chapters(spark, d):
-    plain = r"^[a-zA-Z0-9 .,\n]*$"
-    odd = r"(?im)^\s*(([ivxlc]+|[0-9]{1,3})[.)]\s|(page|sivu|s\.?|p\.?)?\s*[0-9]+\s*$|(luku|chapter|osa|part|kapitel)\s+[0-9])"
-    t = F.col("text")
-    docs = table(spark, d, "documents").where(t.rlike(plain) & ~t.rlike(r"(?m)^[A-Z\s]{4,50}$") & ~t.rlike(odd))
-    return X.split_chapters(X.lines_with_headings(docs)).where("content <> ''")
+    return X.split_chapters(X.lines_with_headings(table(spark, d, "documents"))).where("content <> ''")
 
 
 @query("dry_run_plan", "WITH c AS (SELECT source, doc_id % 10 AS chapter, sum(length(text))::BIGINT AS chars, sum(ceil(length(text) / 300.0))::BIGINT AS chunks FROM documents GROUP BY ROLLUP (source, chapter)) SELECT source, chapter, chars, chunks, chunks * 15 AS audio_s, round(chunks * 15 * 0.17, 6) AS synth_s FROM c")
