@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from weftline.functions import scalars as S
 from weftline.operators import speech as P
 from weftline.operators.text import mapped
+from weftline.plans import cleaning_sql as Q
 from weftline.plans.logs import _folder
 from weftline.plans.registry import query
 from weftline.plans.speech import _GOOD, _JOINED, _TIER, _chunks
@@ -145,14 +146,14 @@ def slugify(spark, d):
     return table(spark, d, "part").select("p_partkey", S.slug(F.concat("p_name", L(" #"), _s("p_size"), L("!"))).alias("slug"))
 
 
-@query("src_txt", "SELECT doc_id, text AS content FROM documents WHERE doc_id < 40")
+@query("src_txt", "SELECT s_suppkey, s_name || chr(10) || 'äö ' || s_nationkey || chr(10) AS content FROM supplier")
 def src_txt(spark, d):
-    """Texts written a file each and read as whole books."""
+    """Texts written a file each and read as whole books by their ending."""
     path = _folder(spark)
-    docs = table(spark, d, "documents").where("doc_id < 40").select("text", C("doc_id").alias("id"))
-    docs.repartition("id").write.partitionBy("id").text(path, lineSep="\n")
-    got = spark.read.text(f"{path}/id=*", wholetext=True).select(F.input_file_name().alias("f"), "value")
-    return got.select(F.regexp_extract("f", r"id=(\d+)", 1).cast("long").alias("doc_id"), F.regexp_replace("value", r"\n\z", "").alias("content"))
+    text = F.concat("s_name", L("\näö "), _s("s_nationkey"), L("\n"))
+    R.write_packs(table(spark, d, "supplier").select(_s("s_suppkey").alias("pack"), L("book.txt").alias("file"), text.alias("content")), path).count()
+    got = B.read_books(spark, f"{path}/*/book.txt")
+    return got.select(F.element_at(F.split("path", "/"), -2).cast("long").alias("s_suppkey"), "content")
 
 
 @query("html_to_text")
@@ -181,13 +182,21 @@ def src_epub(spark, d):
     return B.epub_chapters(files)
 
 
-@query("src_pdf")
+_PAGED = f"""l AS (SELECT doc_id, page, (page - 1) * 10 + k AS n, line FROM (SELECT doc_id, p AS page, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM
+ (SELECT doc_id, i AS p, string_split(CASE WHEN i % 4 = 0 THEN 'Chapter ' || i || chr(10) ELSE '' END || x, chr(10)) AS ls FROM (SELECT doc_id, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)))
+ WHERE {Q.stripped("array_to_string(ls, '')")} <> ''))"""
+
+
+@query("src_pdf", f"""WITH {_PAGED}, {Q.CHAPTERS}, pg AS (SELECT doc_id, part, min(page) FILTER (h) AS a, max(page) AS z FROM p GROUP BY ALL),
+e AS (SELECT doc_id, part, coalesce(a, 1) AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY part), max(z) OVER (PARTITION BY doc_id)) AS z FROM pg)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx, coalesce(title, 'Alkusanat') AS title, md5(content) AS digest, a AS page_start, z AS page_end FROM c JOIN e USING (doc_id, part)
+UNION ALL SELECT doc_id, 0, 'Kirja', md5(content), 1, (SELECT max(page) FROM l WHERE l.doc_id = w.doc_id) FROM w""")
 def src_pdf(spark, d):
     """Chapters of extracted pages: every document is a book with a page for each paragraph."""
-    docs = table(spark, d, "documents").where("length(text) < 4000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
     no = C("page_no") + 1
     pages = docs.select("doc_id", no.alias("page_no"), F.concat(F.when(no % 4 == 0, F.concat(L("Chapter "), _s(no), L("\n"))).otherwise(""), "text").alias("text"))
-    return B.pages_to_chapters(pages)
+    return B.pages_to_chapters(pages).select("doc_id", "idx", "title", F.md5(C("content").cast("binary")).alias("digest"), "page_start", "page_end")
 
 
 @query("src_wav", f"WITH {D.FRAMES_SQL} SELECT clip_id::VARCHAR AS path, 16000::BIGINT AS rate, count(*) AS n, sum(amp)::BIGINT AS total FROM frame GROUP BY clip_id")
@@ -209,12 +218,12 @@ def src_wav(spark, d):
     return B.wav_samples(files).select("path", "rate", F.size("samples").cast("long").alias("n"), F.aggregate("samples", L(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("src_config", "SELECT c_custkey, 'fi' AS language, c_custkey % 2 = 0 AS dark FROM customer WHERE c_custkey < 50")
+@query("src_config", "SELECT s_suppkey, 'fi' AS language, s_suppkey % 2 = 0 AS dark FROM supplier")
 def src_config(spark, d):
     path = _folder(spark)
-    text = F.concat(L('{"language": "fi", "legacy": [1], "key": '), _s("c_custkey"), L(', "dark": '), _s(C("c_custkey") % 2 == 0), L("}"))
-    table(spark, d, "customer").where("c_custkey < 50").select(text.alias("value"), C("c_custkey").alias("id")).write.partitionBy("id").text(path)
-    return R.read_settings(spark, f"{path}/id=*", "key long, language string, dark boolean").select(C("key").alias("c_custkey"), "language", "dark")
+    text = F.concat(L('{"language": "fi", "legacy": [1], "key": '), _s("s_suppkey"), L(', "dark": '), _s(C("s_suppkey") % 2 == 0), L("}"))
+    R.write_packs(table(spark, d, "supplier").select(_s("s_suppkey").alias("pack"), L("settings.json").alias("file"), text.alias("content")), path).count()
+    return R.read_settings(spark, f"{path}/*/settings.json", "key long, language string, dark boolean").select(C("key").alias("s_suppkey"), "language", "dark")
 
 
 def _packs(spark, d):
@@ -235,20 +244,38 @@ def first_issue_list(spark, d):
     return R.pack_issues(_packs(spark, d)).select("pack", F.array_join("issues", "; ").alias("issues"))
 
 
-@query("src_pack_dir", f"SELECT pack, row_number() OVER (ORDER BY lower(p_name), pack) AS place FROM ({_ISSUES}) i JOIN part ON p_partkey::VARCHAR = pack WHERE issues = ''")
-def src_pack_dir(spark, d):
-    from pyspark.sql import Window as W
+_DIR_ISSUES = """SELECT s_suppkey::VARCHAR AS pack, 'N ' || s_name AS name, array_to_string([x for x in [CASE WHEN s_suppkey % 11 = 10 THEN 'meta.yaml missing' END, CASE WHEN s_suppkey % 11 = 9 THEN 'meta.yaml is not a mapping' END,
+  CASE WHEN s_suppkey % 11 < 9 AND s_suppkey % 3 = 2 THEN 'unknown tier gold' END, CASE WHEN s_suppkey % 11 < 9 AND s_suppkey % 13 = 0 THEN 'format version 2 is newer than supported' END, CASE WHEN s_suppkey % 7 = 0 THEN 'sample.wav missing' END,
+  CASE WHEN s_suppkey % 11 < 9 AND s_suppkey % 3 = 0 AND s_suppkey % 5 = 0 THEN 'adapter.pt missing for tier=full_lora' END] if x is not null], '; ') AS issues FROM supplier"""
+
+
+def _pack_folder(spark, d):
+    """A folder of packs, of which some lack files or have a bad meta.yaml."""
+    root, k = _folder(spark), C("s_suppkey")
+    tier = F.element_at(F.array(*map(F.lit, ("full_lora", "few_shot", "gold"))), (k % 3 + 1).cast("int"))
+    meta = F.when(k % 11 == 9, L("- a list")).otherwise(F.concat(L("name: N "), "s_name", L("\ntier: "), tier, L("\nformat_version: "), _s(1 + (k % 13 == 0).cast("int"))))
+    one = lambda name, there, content: F.when(there, F.struct(L(name).alias("file"), content.alias("content")))
+    files = F.array_compact(F.array(one("meta.yaml", k % 11 != 10, meta), one("sample.wav", k % 7 != 0, L("x")), one("adapter.pt", k % 5 != 0, L("x")), one("reference.wav", k >= 0, L("x"))))
+    rows = table(spark, d, "supplier").select(_s("s_suppkey").alias("pack"), F.explode(files).alias("f")).select("pack", "f.*")
+    R.write_packs(rows, root).count()
+    return root
 
-    valid = R.pack_issues(_packs(spark, d)).where(F.size("issues") == 0)
-    return valid.select("pack", F.row_number().over(W.orderBy(F.lower("name"), "pack")).alias("place"))
 
+@query("validate_pack_dir", f"SELECT pack, issues FROM ({_DIR_ISSUES})")
+def validate_pack_dir(spark, d):
+    return R.pack_issues(R.read_packs(spark, _pack_folder(spark, d))).select("pack", F.array_join("issues", "; ").alias("issues"))
 
-@query("dir_size", "SELECT 25::BIGINT AS files")
+
+@query("src_pack_dir", f"SELECT pack, name, row_number() OVER (ORDER BY lower(name), pack) AS place FROM ({_DIR_ISSUES}) WHERE issues = ''")
+def src_pack_dir(spark, d):
+    return R.list_packs(R.read_packs(spark, _pack_folder(spark, d)))
+
+
+@query("dir_size", "SELECT count(*) AS files, sum(octet_length(encode(s_name || '!')))::BIGINT AS bytes FROM supplier")
 def dir_size(spark, d):
-    path = _folder(spark)
-    table(spark, d, "nation").select("n_name", C("n_nationkey").alias("id")).write.partitionBy("id").text(path)
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("length")
-    return sizes.agg(F.count(F.when(C("length") > 0, 1)).alias("files"))
+    root = _folder(spark)
+    R.write_packs(table(spark, d, "supplier").select(_s("s_suppkey").alias("pack"), L("f.txt").alias("file"), F.concat("s_name", L("!")).alias("content")), root).count()
+    return R.folder_size(spark, root)
 
 
 @query("sequence_ratio")
@@ -303,23 +330,25 @@ def engine_filter(spark, d):
 def src_dispatch(spark, d):
     """The reader that a file's ending asks for; unknown endings are taken for a PDF."""
     name = F.concat(L("Book."), F.element_at(F.array(*map(F.lit, ("EPUB", "txt", "pdf", "doc"))), (C("p_partkey") % 4 + 1).cast("int")))
-    ending = F.lower(F.substring_index(name, ".", -1))
-    return table(spark, d, "part").select("p_partkey", F.when(ending.isin("epub", "txt"), ending).otherwise("pdf").alias("reader"))
+    return table(spark, d, "part").select("p_partkey", B.reader_of(name).alias("reader"))
 
 
-@query("src_lexicon", "SELECT * FROM (VALUES ('fi_abbreviations', 39), ('fi_acronyms', 22), ('fi_units', 20), ('fi_century_suffixes', 8), ('en_abbreviations', 33), ('en_units', 34), ('en_acronyms', 11), ('en_months', 12)) v(lexicon, n)")
+@query("src_lexicon", """SELECT * FROM (VALUES ('fi_abbreviations', 39), ('fi_acronyms', 22), ('fi_units', 20), ('fi_century_suffixes', 8), ('en_abbreviations', 33), ('en_units', 34), ('en_acronyms', 10)) v(lexicon, n)
+UNION ALL SELECT 'en_months: ' || m, i FROM (SELECT unnest(['January','February','March','April','May','June','July','August','September','October','November','December']) AS m, unnest(range(12))::INTEGER AS i)""")
 def src_lexicon(spark, d):
+    """Sizes of the word lists, one of them with an entry taken out, and one whole list in its order."""
     from weftline.sources.lexicons import lexicon
 
-    names = ("fi_abbreviations", "fi_acronyms", "fi_units", "fi_century_suffixes", "en_abbreviations", "en_units", "en_acronyms", "en_months", "none")
-    return lexicon(spark, *names).groupBy("lexicon").agg(F.count("*").cast("int").alias("n"))
+    names = ("fi_abbreviations", "fi_acronyms", "fi_units", "fi_century_suffixes", "en_abbreviations", "en_units", "en_acronyms", "none")
+    sizes = lexicon(spark, *names, overrides={"en_acronyms": {"BAFTA": None}}).groupBy("lexicon").agg(F.count("*").cast("int").alias("n"))
+    return sizes.unionByName(lexicon(spark, "en_months").select(F.concat("lexicon", L(": "), "key").alias("lexicon"), C("ord").alias("n")))
 
 
-@query("sql_functions", "SELECT count(*) AS docs FROM documents")
+@query("sql_functions", "SELECT doc_id, 'five' AS said, (length(trim(text)) > 0)::INTEGER AS some FROM documents")
 def sql_functions(spark, d):
     """The text functions by name, from SQL."""
     from weftline.functions.sql import register
 
     register(spark)
     table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("weftline_documents")
-    return spark.sql("SELECT count(*) AS docs FROM (SELECT doc_id, size(text_chunks(text)) AS n, length(spoken_en('5')) AS k FROM weftline_documents) WHERE n >= 0 AND k = 4")
+    return spark.sql("SELECT doc_id, spoken_en('5') AS said, CAST(size(text_chunks(text)) > 0 AS INT) AS some FROM weftline_documents")

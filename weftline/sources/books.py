@@ -6,12 +6,12 @@ import io
 import posixpath
 import wave
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.text import clean_text
@@ -111,35 +111,89 @@ def html_text(html) -> F.Column:
     return mapped(lambda x: read_html(x)[0], T.StringType())(html)
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as UTF-8; those that aren't become U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_text_books(spark: SparkSession, path: str) -> DataFrame:
-    """Plain texts, a file a book of one chapter; bytes that aren't UTF-8 become U+FFFD."""
+    """Plain texts, a file a book of one chapter."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.lit(0).alias("idx"), F.decode("content", "UTF-8").alias("content"))
+    return files.select("path", F.lit(0).alias("idx"), text_of(F.col("content")).alias("content"))
+
+
+#: What extracts the pages and the metadata (title, author, subject) of one PDF's bytes.
+Extractor = Callable[[bytes], tuple[list[str], dict[str, str]]]
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """Books by their file's ending: .epub, .txt; anything else is taken for a PDF, whose pages another tool has to extract."""
-    lower = path.lower()
-    if lower.endswith(".epub"):
-        return epub_chapters(spark.read.format("binaryFile").load(path))
-    if lower.endswith(".txt"):
-        return read_text_books(spark, path)
+def _installed(content: bytes) -> tuple[list[str], dict[str, str]]:
+    """By whichever optional PDF library is there."""
     try:
-        import fitz  # noqa: F401  an optional PDF library
+        import fitz
     except ImportError as e:
-        raise NotImplementedError("a PDF needs a text extractor; give its pages to pages_to_chapters") from e
-    raise NotImplementedError("extract the pages and give them to pages_to_chapters")
+        raise NotImplementedError("a PDF needs a text extractor: install one or pass ``extract``") from e
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        return [page.get_text("text") for page in doc], {k: v or "" for k, v in (doc.metadata or {}).items()}
+
+
+def pdf_pages(files: DataFrame, extract: Extractor | None = None) -> DataFrame:
+    """Pages of PDF files, (path, content binary): path, page_no (from 1), text, num_pages, title, author, subject, error. A title that isn't there is made of
+    the file's name. A file that can't be read, or without any text, is one row with an error."""
+    get = extract or _installed
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    pages, meta = get(bytes(content))
+                except NotImplementedError:
+                    raise
+                except Exception as e:  # whatever a PDF library raises on a broken file
+                    out.append((path, None, None, None, None, None, None, f"cannot open PDF: {type(e).__name__}"))
+                    continue
+                stem = posixpath.splitext(posixpath.basename(path))[0]
+                about = ((meta.get("title") or "").strip() or stem.replace("_", " ").replace("-", " ").title(), (meta.get("author") or "").strip(), (meta.get("subject") or "").strip())
+                some = [(path, i, text, len(pages), *about, None) for i, text in enumerate(pages, 1) if text.strip()]
+                out += some or [(path, None, None, len(pages), *about, f"PDF contains no extractable text ({len(pages)} pages)")]
+            yield pd.DataFrame(out, columns=["path", "page_no", "text", "num_pages", "title", "author", "subject", "error"]).astype({"page_no": "Int64", "num_pages": "Int64"})
+
+    return files.select("path", "content").mapInPandas(parse, "path string, page_no long, text string, num_pages long, title string, author string, subject string, error string")
+
+
+def pdf_chapters(files: DataFrame, extract: Extractor | None = None) -> DataFrame:
+    """Chapters of PDF files: path, idx, title, content, page_start, page_end, error."""
+    pages = pdf_pages(files, extract)
+    good = pages_to_chapters(pages.where("error is null").select(F.col("path").alias("doc_id"), "page_no", "text"))
+    bad = pages.where("error is not null").select("path", *[F.lit(None).cast(t).alias(c) for c, t in (("idx", "long"), ("title", "string"), ("content", "string"), ("page_start", "long"), ("page_end", "long"))], "error")
+    return good.select(F.col("doc_id").alias("path"), "idx", "title", "content", "page_start", "page_end", F.lit(None).cast("string").alias("error")).unionByName(bad)
+
+
+def reader_of(path: Column) -> Column:
+    """The reader that a file's ending asks for: epub, txt, and pdf for anything else."""
+    ending = F.lower(F.substring_index(path, ".", -1))
+    return F.when(ending.isin("epub", "txt"), ending).otherwise("pdf")
+
+
+def read_books(spark: SparkSession, path: str, *, extract: Extractor | None = None) -> DataFrame:
+    """Chapters of all books below ``path`` (a file, a folder or a pattern), each by its file's ending: path, idx, title, content, error."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content", reader_of(F.col("path")).alias("reader"))
+    of = lambda kind: files.where(F.col("reader") == kind).select("path", "content")
+    nothing = F.lit(None).cast("string")
+    texts = of("txt").select("path", F.lit(0).cast("long").alias("idx"), nothing.alias("title"), text_of(F.col("content")).alias("content"), nothing.alias("error"))
+    out = epub_chapters(of("epub")).unionByName(texts)
+    if of("pdf").isEmpty():
+        return out
+    return out.unionByName(pdf_chapters(of("pdf"), extract).select(*out.columns))
 
 
 def pages_to_chapters(pages: DataFrame) -> DataFrame:
-    """Chapters of (doc_id, page_no, text): blank pages are skipped; a chapter knows its first page."""
-    from weftline.operators.text import heading, split_chapters
-
-    some = pages.where(F.trim("text") != "")
-    lines = some.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("n", F.col("page_no").cast("long") * 1_000_000 + F.col("k"))
-    chapters = split_chapters(lines.select("doc_id", "n", "line"))
-    starts = lines.where(heading(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))).groupBy("doc_id", F.trim("line").alias("title")).agg(F.min("page_no").alias("page_start"))
-    return chapters.join(starts, ["doc_id", "title"], "left").select("doc_id", "idx", "title", "content", F.coalesce("page_start", F.lit(1)).alias("page_start"))
+    """Chapters of (doc_id, page_no, text): blank pages are skipped; a chapter knows the page of its heading (page_start) and of the next one (page_end)."""
+    from weftline.operators.text import split_chapters
+
+    some = pages.where(~F.col("text").rlike(r"(?U)^\s*$"))
+    lines = some.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    return split_chapters(lines.select("doc_id", F.struct("page_no", "k").alias("n"), "line", "page_no"))
 
 
 def wav_samples(files: DataFrame) -> DataFrame:

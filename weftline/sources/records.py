@@ -31,10 +31,12 @@ def read_manifests(spark: SparkSession, path: str, *, multiline: bool = False) -
 
 
 def write_summaries(summaries: DataFrame, path: str, *, most: int = 100_000) -> str:
-    """Speakers as YAML, the largest first; a report, so it has at most ``most`` rows."""
+    """Speakers as YAML, the largest first; a report that a person reads, made on the driver: more than ``most`` rows are an error, none is left out."""
     import yaml
 
-    rows = summaries.select(*SUMMARY_KEYS).orderBy(F.desc("total_seconds"), "speaker").limit(most).collect()
+    rows = summaries.select(*SUMMARY_KEYS).orderBy(F.desc("total_seconds"), "speaker").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} speakers; write them as a table")
     text = yaml.safe_dump([r.asDict() for r in rows], allow_unicode=True, sort_keys=False)
     write_whole(path, text)
     return text
@@ -81,12 +83,14 @@ def read_settings(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def pack_issues(packs: DataFrame) -> DataFrame:
-    """All that is wrong with packs of (pack, name, tier, format_version, files array): an empty array is a valid pack."""
+    """All that is wrong with packs of (pack, name, tier, format_version, files array, and error if it is there): an empty array is a valid pack."""
     lacks = lambda f: ~F.array_contains("files", f)
     tier = F.col("tier")
-    meta = lacks("meta.yaml")
+    error = F.col("error") if "error" in packs.columns else F.lit(None).cast("string")
+    meta = lacks("meta.yaml") | error.isNotNull()
     checks = [
-        F.when(meta, "meta.yaml missing"),
+        F.when(lacks("meta.yaml"), "meta.yaml missing"),
+        error,
         F.when(~meta & F.col("name").isNull(), "meta.yaml missing required key: name"),
         F.when(~meta & ~tier.isin(*PACK_TIERS), F.concat(F.lit("unknown tier "), tier)),
         F.when(~meta & (F.col("format_version") > PACK_VERSION), F.concat(F.lit("format version "), F.col("format_version").cast("string"), F.lit(" is newer than supported"))),
@@ -97,6 +101,66 @@ def pack_issues(packs: DataFrame) -> DataFrame:
     return packs.select("pack", "name", F.array_compact(F.array(*checks)).alias("issues"))
 
 
+def read_packs(spark: SparkSession, root: str) -> DataFrame:
+    """Pack folders below ``root``, as ``pack_issues`` takes them: pack, name, tier, format_version, files, error (of a meta.yaml that isn't a mapping or
+    can't be parsed). File names come from a listing; only the meta files are read."""
+    import yaml
+
+    def parse(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for pack, content in zip(b["pack"], b["content"], strict=True):
+                error, m = None, {}
+                try:
+                    m = yaml.safe_load(bytes(content).decode())
+                    if not isinstance(m, dict):
+                        error, m = "meta.yaml is not a mapping", {}
+                    version = int(m.get("format_version", PACK_VERSION))
+                except (yaml.YAMLError, UnicodeDecodeError) as e:
+                    error, m, version = f"meta.yaml parse error: {type(e).__name__}", {}, PACK_VERSION
+                except (TypeError, ValueError):
+                    error, version = "meta.yaml has bad value: format_version", PACK_VERSION
+                out.append((pack, m.get("name"), m.get("tier"), version, error))
+            yield pd.DataFrame(out, columns=["pack", "name", "tier", "format_version", "error"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    part = F.split("path", "/")
+    found = found.withColumn("pack", F.element_at(part, -2)).withColumn("file", F.element_at(part, -1))
+    files = found.groupBy("pack").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    meta = found.where("file = 'meta.yaml'").select("pack", "content").mapInPandas(parse, "pack string, name string, tier string, format_version int, error string")
+    return files.join(meta, "pack", "left").select("pack", "name", "tier", "format_version", "files", "error")
+
+
+def list_packs(packs: DataFrame) -> DataFrame:
+    """Valid packs in the order of their names in lower case: pack, name, place."""
+    from weftline.operators.ranking import placed
+
+    issues = pack_issues(packs).where(F.size("issues") == 0)
+    return placed(issues.select("pack", "name", F.xxhash64("pack").alias("id of it")), F.concat(F.lower("name"), F.lit("\x00"), F.col("pack")), "id of it").select("pack", "name", "place")
+
+
+def write_packs(packs: DataFrame, root: str) -> DataFrame:
+    """Pack folders of (pack, file, content string): each file whole or absent. Returns pack and its number of files."""
+
+    def put(batches):
+        import pandas as pd
+
+        for b in batches:
+            for pack, file, content in zip(b["pack"], b["file"], b["content"], strict=True):
+                write_whole(f"{root}/{pack}/{file}", content)
+            yield pd.DataFrame({"pack": b["pack"]})
+
+    return packs.select("pack", "file", "content").mapInPandas(put, "pack string").groupBy("pack").agg(F.count("*").alias("files"))
+
+
+def folder_size(spark: SparkSession, root: str) -> DataFrame:
+    """Files and bytes below a folder, from its listing; what Spark's writers leave beside the data doesn't count."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return found.where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]")).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def audio_plan(chunks: DataFrame, *, gap_ms: int = 250) -> DataFrame:
     """The list of an assembly in order: each chunk but the last of its job is followed by a gap."""
     from pyspark.sql import Window as W
