@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,23 +98,41 @@ def fold_clusters(chunks: DataFrame, *, least_chunks: int, least_seconds: float,
     return g.select("speaker", "cluster", F.concat(F.lit("CHAR_"), F.when(F.col("good"), S.char_label(F.col("no"))).otherwise("A")).alias("name"))
 
 
-def similar_pairs(vectors: DataFrame, most_distance: float, *, blocks: int = 4) -> DataFrame:
-    """Pairs (a < b) of a speaker's vectors within a cosine distance. A speaker's rows are dealt into blocks and each pair of
-    blocks is one join key, so that a large speaker is many tasks; unit vectors are made once a row."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.select("speaker", "idx", F.transform(F.col("v").cast("array<double>"), lambda x: x).alias("v")).withColumn("v", F.transform("v", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)))
-    block = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    x = unit.withColumn("p", block).withColumn("q", other)
-    y = unit.withColumn("q", block).withColumn("p", other)
-    dot = F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pair = x.alias("x").join(y.alias("y"), [F.col("x.speaker") == F.col("y.speaker"), F.col("x.p") == F.col("y.p"), F.col("x.q") == F.col("y.q"), F.col("x.idx") < F.col("y.idx")])
-    return pair.select(F.col("x.speaker").alias("speaker"), F.col("x.idx").alias("a"), F.col("y.idx").alias("b"), (1 - dot).alias("distance")).where(F.col("distance") <= most_distance)
+#: Vectors of a block: a pair of blocks is one product of two matrices.
+BLOCK_ROWS = 1024
 
 
-def connected_labels(vertices: DataFrame, edges: DataFrame, *, most_rounds: int = 40) -> DataFrame:
+def similar_pairs(vectors: DataFrame, most_distance: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (a < b) of a speaker's vectors within a cosine distance. A speaker's rows are dealt into blocks of about ``block_rows``, however many there are, and
+    each pair of blocks is one task's product of matrices."""
+    ways = vectors.groupBy("speaker").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("ways"))
+    v = vectors.select("speaker", "idx", F.col("v").cast("array<double>").alias("v")).join(ways, "speaker")
+    block = F.pmod(F.xxhash64("idx"), F.col("ways")).cast("int")
+    # a block meets itself and those after it
+    v = v.withColumn("mine", block)
+    left = v.withColumn("p", F.col("mine")).withColumn("q", F.explode(F.sequence(F.col("mine"), F.col("ways") - 1)))
+    right = v.toDF(*v.columns).withColumn("q", F.col("mine")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("mine"))))
+
+    def near(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = {"speaker": pa.array([], pa.string()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())}
+        if len(x) and len(y):
+            xi, yi = (t.column("idx").to_numpy() for t in (x, y))
+            xv, yv = (np.vstack(t.column("v").to_numpy()) for t in (x, y))
+            xv, yv = (m / np.where((n := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1.0, n) for m in (xv, yv))
+            far = 1 - xv @ yv.T
+            i, j = np.nonzero(far <= most_distance)
+            same = bool(x.column("mine")[0] == y.column("mine")[0])
+            keep = xi[i] < yi[j] if same else np.ones(len(i), dtype=bool)
+            i, j = i[keep], j[keep]
+            out = {"speaker": pa.array([x.column("speaker")[0].as_py()] * len(i), pa.string()), "a": pa.array(np.minimum(xi[i], yi[j])), "b": pa.array(np.maximum(xi[i], yi[j])), "distance": pa.array(far[i, j])}
+        return pa.table(out)
+
+    return left.groupBy("speaker", "p", "q").cogroup(right.groupBy("speaker", "p", "q")).applyInArrow(near, "speaker string, a long, b long, distance double")
+
+
+def connected_labels(vertices: DataFrame, edges: DataFrame, *, most_rounds: int = 200) -> DataFrame:
     """(speaker, idx, root): the smallest member that edges reach. Minima move over the edges and jump to their own
-    root, so rounds grow with the logarithm of a chain; lineage is cut each round in the shared folder."""
+    root, so rounds grow with the logarithm of a chain; lineage is cut each round in the shared folder. Labels that don't settle are an error."""
     spark = vertices.sparkSession
     _need_checkpoint(spark)
     both = edges.select("speaker", "a", "b").union(edges.select("speaker", F.col("b"), F.col("a"))).checkpoint()
@@ -125,8 +145,90 @@ def connected_labels(vertices: DataFrame, edges: DataFrame, *, most_rounds: int
         moved = new.join(lab.withColumnRenamed("root", "was"), ["speaker", "v"]).where("root <> was").limit(1).count()
         lab = new
         if not moved:
-            break
-    return lab.select("speaker", F.col("v").alias("idx"), "root")
+            return lab.select("speaker", F.col("v").alias("idx"), "root")
+    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+
+
+def complete_linkage(x: np.ndarray, most: float) -> np.ndarray:
+    """Labels (0, 1, ... by first member) of rows by complete linkage on cosine distance: clusters merge while the farthest pair of both is nearer than ``most``.
+    Nearest-neighbour chains find the merges in quadratic time."""
+    n = len(x)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    u = x / np.where(size == 0, 1.0, size)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    live, top, merges, chain = np.ones(n, dtype=bool), np.arange(n), [], []
+    while live.sum() > 1:
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            a = chain[-1]
+            row = np.where(live, d[a], np.inf)
+            b = int(row.argmin())
+            # on a tie the one before in the chain, so that chains end
+            if len(chain) > 1 and row[chain[-2]] <= row[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        merges.append((float(d[a, b]), a, b))
+        keep, gone = min(a, b), max(a, b)
+        d[keep] = d[:, keep] = np.maximum(d[keep], d[gone])
+        d[keep, keep] = np.inf
+        live[gone] = False
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for far, a, b in merges:
+        if far < most:
+            a, b = sorted((root(a), root(b)))
+            top[b] = a
+    roots = np.array([root(i) for i in range(n)])
+    return np.unique(roots, return_inverse=True)[1]
+
+
+def cluster_by_threshold(vectors: DataFrame, most: float, *, key: str = "source_id") -> DataFrame:
+    """(key, idx, cluster): each recording's vectors by complete linkage. All distances within a recording count, so a recording is one task, of as many
+    vectors as it has windows."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        return pd.DataFrame({key: rows[key], "idx": rows["idx"], "cluster": complete_linkage(np.vstack(rows["v"].to_numpy()), most)})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, "idx", F.col("v").cast("array<double>").alias("v")).groupBy(key).applyInPandas(one, f"{key} {kind}, idx long, cluster long")
+
+
+def cluster_by_number(vectors: DataFrame, k: int, *, starts: int = 10, seed: int = 0) -> DataFrame:
+    """(idx, cluster): k-means from several starts, the best by the sum of squares; with fewer rows than ``k`` all are in cluster 0."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    if vectors.limit(k).count() < k:
+        return vectors.select("idx", F.lit(0).alias("cluster"))
+    v = vectors.select("idx", array_to_vector(F.col("v").cast("array<double>")).alias("features")).persist()
+    models = [KMeans(k=k, seed=seed + i, initMode="k-means||").fit(v) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    out = best.transform(v).select("idx", F.col("prediction").alias("cluster"))
+    v.unpersist()
+    return out
+
+
+def undersplit(named: DataFrame, *, least_chunks: int = 50, most_characters: int = 1) -> DataFrame:
+    """Speakers with many chunks (speaker, name) that all fell to so few characters that clustering may have merged several: speaker, chunks, characters."""
+    g = named.groupBy("speaker").agg(F.count("*").alias("chunks"), F.count_distinct("name").alias("characters"))
+    return g.where((F.col("chunks") >= least_chunks) & (F.col("characters") <= most_characters))
+
+
+def orphans(files: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Files whose key isn't wanted any more, each once."""
+    return files.join(wanted.select(key).distinct(), key, "left_anti").distinct()
 
 
 def _need_checkpoint(spark) -> None:
@@ -159,13 +261,19 @@ def pick_reference(chunks: DataFrame, top: int = 3) -> DataFrame:
     return c.withColumn("score", F.round(score, 6)).withColumn("penalties", F.array_join(all_tags, ",")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def rebalance(clips: DataFrame, target: int | None = None, *, by: str = "emotion", seed: int = 42) -> DataFrame:
+def rebalance(clips: DataFrame, target: int | None = None, *, by: str = "emotion", seed: int = 42, rows_per_cell: int = 4096) -> DataFrame:
     """Every class as often as ``target`` (the largest class): larger ones lose rows drawn by a hash, smaller ones
-    repeat rows drawn by a hash. Returns the clips with ``copy``."""
+    repeat rows drawn by a hash. Returns the clips with ``copy``. A class is numbered within cells of its hash, whose sizes are summed before it,
+    so none is sorted in one task."""
     sizes = clips.groupBy(by).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("target", F.lit(target) if target is not None else F.max("n").over(W.partitionBy()))
-    no = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), "clip_id"), "clip_id")) - 1
-    rows = clips.withColumn("no", no).join(F.broadcast(sizes), by)
+    want = F.lit(target) if target is not None else F.lit(sizes.agg(F.max("n")).first()[0])
+    sizes = sizes.withColumn("target", want.cast("long")).withColumn("cells", F.ceil(F.col("n") / rows_per_cell))
+    h = F.xxhash64(F.lit(seed), "clip_id")
+    t = clips.withColumn("h of it", h).join(sizes, by).withColumn("cell", F.least(F.floor((F.col("h of it") / 2.0**64 + 0.5) * F.col("cells")), F.col("cells") - 1))
+    before = W.partitionBy(by).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    base = t.groupBy(by, "cell").agg(F.count("*").alias("k")).withColumn("base", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+    no = F.col("base") + F.row_number().over(W.partitionBy(by, "cell").orderBy("h of it", "clip_id")) - 1
+    rows = t.join(base, [by, "cell"]).withColumn("no", no).drop("h of it", "cell", "cells", "base")
     down = rows.where("no < target").withColumn("copy", F.lit(0))
     draws = sizes.where("n < target").select(by, "n", F.explode(F.sequence(F.lit(1), (F.col("target") - F.col("n")).cast("int"))).alias("copy"))
     draws = draws.select(by, "copy", F.pmod(F.xxhash64(F.lit(seed), by, "copy"), F.col("n")).alias("no"))

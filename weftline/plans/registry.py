@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES: tuple[str, ...] = ("projections", "speech", "texts", "stats", "normalizers", "logs", "files")
+MODULES: tuple[str, ...] = ("projections", "speech", "texts", "stats", "normalizers", "logs", "files", "endtoend")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -118,7 +118,7 @@ def cluster_rank_and_fold(spark, d):
 @query("character_summary", f"WITH {_RANKED}, t AS (SELECT speaker, {_NAME} AS character, s, n FROM named) SELECT speaker, character, sum(s)::BIGINT AS total_seconds, sum(n)::BIGINT AS chunks, round(sum(s) / sum(n), 6) AS mean_seconds FROM t GROUP BY ALL")
 def character_summary(spark, d):
     c = _clustered(spark, d)
-    named = c.join(F.broadcast(P.fold_clusters(c, least_chunks=100, least_seconds=420, most=4)), ["speaker", "cluster"])
+    named = c.join(P.fold_clusters(c, least_chunks=100, least_seconds=420, most=4), ["speaker", "cluster"])
     return named.groupBy("speaker", F.col("name").alias("character")).agg(F.sum("seconds").alias("total_seconds"), F.count("*").alias("chunks"), F.round(F.avg("seconds"), 6).alias("mean_seconds"))
 
 
@@ -127,11 +127,12 @@ def char_label(spark, d):
     return table(spark, d, "part").select("p_partkey", S.char_label(F.col("p_partkey") % 700).alias("label"))
 
 
-@query("undersplit_warning", f"WITH {_RANKED} SELECT speaker, sum(n)::BIGINT AS chunks, count(DISTINCT {_NAME}) AS characters FROM named GROUP BY speaker HAVING sum(n) >= 50 AND count(DISTINCT {_NAME}) <= 3")
+@query("undersplit_warning", f"WITH cl AS (SELECT 'S' || user_id % 4 AS speaker, CASE WHEN user_id % 4 = 1 OR event_id % 11 < 6 THEN 0 ELSE event_id % 7 END AS cluster FROM events), k AS (SELECT speaker, count(*) AS chunks, count(DISTINCT cluster) AS characters FROM cl GROUP BY ALL) SELECT * FROM k WHERE chunks >= 50 AND characters <= 1")
 def undersplit_warning(spark, d):
-    c = _clustered(spark, d)
-    named = c.join(F.broadcast(P.fold_clusters(c, least_chunks=100, least_seconds=420, most=4)), ["speaker", "cluster"])
-    return named.groupBy("speaker").agg(F.count("*").alias("chunks"), F.count_distinct("name").alias("characters")).where("chunks >= 50 and characters <= 3")
+    """One of four speakers has a single cluster."""
+    c = _clustered(spark, d).withColumn("cluster", F.when(F.col("speaker") == "S1", 0).otherwise(F.col("cluster")))
+    named = c.join(P.fold_clusters(c, least_chunks=1, least_seconds=0), ["speaker", "cluster"])
+    return P.undersplit(named)
 
 
 @query("decision_join", f"WITH {D.TURNS_SQL}, s AS (SELECT speaker, count(*) AS n FROM turn GROUP BY ALL), dec AS (SELECT 'SPEAKER_' || lpad(n_nationkey::VARCHAR, 2, '0') AS speaker, CASE WHEN n_nationkey % 4 = 3 THEN ' ' ELSE n_name END AS name, n_nationkey % 5 = 4 AS excluded FROM nation) SELECT s.speaker, n, CASE WHEN NOT excluded AND trim(name) <> '' THEN name END AS name, NOT coalesce(NOT excluded AND trim(name) <> '', false) AS skipped FROM s LEFT JOIN dec USING (speaker)")
@@ -150,10 +151,10 @@ def resume_anti(spark, d):
     return plan.join(done, ["n", "k"], "left_anti").select("job", "n")
 
 
-@query("orphan_detect", "SELECT DISTINCT s_name, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@query("orphan_detect", "SELECT DISTINCT s_nationkey, s_name[:12] AS path FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 1)")
 def orphan_detect(spark, d):
-    there = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey"))
-    return table(spark, d, "supplier").join(there, "s_nationkey", "left_anti").select("s_name", "s_nationkey").distinct()
+    wanted = table(spark, d, "customer").where("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("s_nationkey"))
+    return P.orphans(table(spark, d, "supplier").select("s_nationkey", F.substring("s_name", 1, 12).alias("path")), wanted, "s_nationkey")
 
 
 @query("resume", f"WITH {D.STATS_SQL}, p AS (SELECT job, count(*) AS planned, count(*) FILTER (n % 3 = 0) AS cached FROM stats GROUP BY job) SELECT job, planned, cached, planned - cached AS todo, cached = planned AS complete FROM p")
@@ -250,11 +251,12 @@ def realign(spark, d):
 
 @query("cluster_k_or_threshold")
 def cluster_k_or_threshold(spark, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = _vectors(spark, d).select("idx", array_to_vector("v").alias("features"))
-    return KMeans(k=5, seed=0, initMode="k-means||").fit(v).transform(v).select("idx", F.col("prediction").alias("cluster"))
+    """Vectors by a given number of clusters, and by a distance threshold within each source."""
+    v = _vectors(spark, d)
+    by_k = P.cluster_by_number(v, 5, starts=3).select(F.lit("k").alias("how"), F.lit("all").alias("source"), "idx", F.col("cluster").cast("long").alias("cluster"))
+    sources = v.withColumn("source", F.concat("speaker", F.lit("/"), F.floor(F.col("idx") / 200).cast("string")))
+    by_t = P.cluster_by_threshold(sources, 0.8, key="source").select(F.lit("threshold").alias("how"), "source", "idx", "cluster")
+    return by_k.unionByName(by_t)
 
 
 @query("speaker_index", f"WITH {D.TURNS_SQL} SELECT speaker, 'Narrator ' || row_number() OVER (ORDER BY sum(te_ms - ts_ms) DESC, speaker) AS label FROM turn GROUP BY speaker")
