@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators import normalize as N
+from weftline.operators.text import mapped
 from weftline.plans.registry import query
 from weftline.session import spread, table
 
@@ -153,12 +155,12 @@ _FORMS = {
 _CASES = " ".join(f"WHEN {i} THEN ([{', '.join(repr(w) for w in words.split())}])[l_linenumber]" for i, (words, _) in enumerate(_FORMS.values()))
 
 
-@query("fi_g_governed", f"SELECT l_orderkey, l_linenumber, {_GOV} || ' ' || CASE l_orderkey % 5 {_CASES} END || ' alkaen, ' || {fi99('(l_quantity::INTEGER)')} || ' kertaa' AS said FROM lineitem WHERE l_linenumber <= 7")
+@query("fi_g_governed", f"SELECT l_orderkey, l_linenumber, {_GOV} || ' ' || CASE l_orderkey % 5 {_CASES} END || ' alkaen ja taas uudestaan ' || {fi99('(l_quantity::INTEGER)')} || ' kertaa' AS said FROM lineitem WHERE l_linenumber <= 7")
 def fi_g_governed(spark, d):
     gov = F.element_at(F.array(*[L(g) for _, g in _FORMS.values()]), (C("l_orderkey") % 5 + 1).cast("int"))
-    # the second number stands by itself: its governor is the word after it
-    whole = F.concat(N.one_pass(F.concat(gov, L(" "), _s("l_linenumber"), L(" alkaen, ")), "fi", "governed"), N.one_pass(F.concat(_s(C("l_quantity").cast("int")), L(" kertaa")), "fi", "governed"))
-    return table(spark, d, "lineitem").where("l_linenumber <= 7").select(*_line, whole.alias("said"))
+    # the second number is beyond the governor's reach of three words
+    text = F.concat(gov, L(" "), _s("l_linenumber"), L(" alkaen ja taas uudestaan "), _s(C("l_quantity").cast("int")), L(" kertaa"))
+    return spread(table(spark, d, "lineitem").where("l_linenumber <= 7")).select(*_line, N.one_pass(text, "fi", "governed").alias("said"))
 
 
 _register("fi_i_loanword", "fi", "loanword", "part", _part, lambda: F.concat(L("liberalismin instituutio ja Wittenberg, Ius Commune, outoismi, Leidenissä "), "p_name"), "'liberalis-min instituu-tio ja Vittenberg, jus kommune, outoismi, Leidenissä ' || p_name")
@@ -166,54 +168,63 @@ _register("fi_h_morpheme", "fi", "morpheme", "part", _part, lambda: F.concat(L("
 _register("fi_z_ws", "fi", "blanks", "part", _part, lambda: F.concat(L(" a \t b , c ."), "p_name"), "' a b, c.' || p_name")
 
 
-@query("governor_window", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 20 THEN CASE l_orderkey % 5 WHEN 0 THEN 'ablative' WHEN 1 THEN 'inessive' WHEN 2 THEN 'adessive' WHEN 3 THEN 'nominative' ELSE 'elative' END ELSE 'nominative' END AS demanded FROM lineitem")
+_DEMAND = "CASE l_orderkey % 5 WHEN 0 THEN 'ablative' WHEN 1 THEN 'inessive' WHEN 2 THEN 'adessive' WHEN 3 THEN 'nominative' ELSE 'elative' END"
+
+
+@query("governor_window", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 20 THEN {_DEMAND} ELSE 'nominative' END AS demanded FROM lineitem")
 def governor_window(spark, d):
-    """The nearest governor within three words, as a fold over an array of words."""
-    from weftline.functions.lexicon_fi import BEFORE
+    """The case that a number's surroundings ask for: of the nearest governor within three words before it, else after it."""
+    from weftline.functions.finnish import numbers_with_case
 
     gov = F.element_at(F.array(*[L(g) for _, g in _FORMS.values()]), (C("l_orderkey") % 5 + 1).cast("int"))
-    words = F.concat(F.array(gov), F.when(C("l_quantity") <= 20, F.array(L("a"), L("b"))).otherwise(F.array(L("a"), L("b"), L("c"), L("d"))))
-    near = F.filter(F.reverse(F.slice(words, F.greatest(F.size(words) - 2, L(1)), L(3))), lambda w: w.isin(*BEFORE))
-    case = F.create_map(*[L(x) for kv in BEFORE.items() for x in kv])
-    return table(spark, d, "lineitem").select(*_line, F.coalesce(F.try_element_at(case, F.try_element_at(near, L(1))), L("nominative")).alias("demanded"))
+    text = F.concat(gov, F.when(C("l_quantity") <= 20, " a b ").otherwise(" a b c "), L("5 "), F.when(C("l_linenumber") % 2 == 0, "kertaa").otherwise("osa"))
+    demanded = mapped(lambda t: numbers_with_case(t)[0][2], T.StringType())
+    return spread(table(spark, d, "lineitem")).select(*_line, demanded(text).alias("demanded"))
 
 
 @query("roman_context", f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'regnal' WHEN p_partkey % 3 = 1 THEN 'cardinal' ELSE 'none' END AS context, {_ROMAN_N} AS value FROM part")
 def roman_context(spark, d):
-    from weftline.functions.english import ROMAN_CARDINAL, ROMAN_REGNAL
+    """What the word before a numeral makes of it, however far back it stands, and the numeral's value."""
+    from weftline.functions import english
 
     k = C("p_partkey") % 3
-    before = F.when(k == 0, "King").when(k == 1, "Part").otherwise("my")
-    context = F.when(before.isin(*ROMAN_REGNAL), "regnal").when(before.isin(*ROMAN_CARDINAL), "cardinal").otherwise("none")
-    signs = F.transform(F.split(_roman(), ""), lambda c: F.element_at(F.create_map(*[L(x) for kv in zip("IVXLCDM", (1, 5, 10, 50, 100, 500, 1000), strict=True) for x in kv]), c))
-    value = F.aggregate(F.reverse(signs), F.struct(L(0).alias("sum"), L(0).alias("last")), lambda a, v: F.struct((a["sum"] + F.when(v < a["last"], -v).otherwise(v)).alias("sum"), F.greatest(a["last"], v).alias("last")))
-    return table(spark, d, "part").select("p_partkey", context.alias("context"), value["sum"].alias("value"))
+    text = F.concat(F.when(k == 0, "King").when(k == 1, "Part").otherwise("my"), F.repeat(L(" "), (1 + C("p_partkey") % 200).cast("int")), _roman())
+    context = mapped(lambda t: english.roman_context(t, t.rindex(" ") + 1) or "none", T.StringType())
+    value = mapped(lambda t: english.roman(t.rpartition(" ")[2]), T.IntegerType())
+    return spread(table(spark, d, "part")).select("p_partkey", context(text).alias("context"), value(text).alias("value"))
 
 
-@query("heading_run", r"""WITH w AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS t FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS a FROM documents WHERE doc_id < 400)),
+@query("heading_run", r"""WITH w AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS t FROM (SELECT doc_id, [x for x in regexp_split_to_array(text || CASE WHEN doc_id % 3 = 0 THEN ' THE "BIG" RED, HOUSE' ELSE '' END, '\s+') if x <> ''] AS a FROM documents)),
 c AS (SELECT *, regexp_full_match(trim(t, '.,:;!?"''()[]{}'), '[A-Z]{2,}') AS up FROM w), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, up ORDER BY i) AS g FROM c)
 SELECT doc_id, min(i) AS first, count(*) AS n FROM r WHERE up GROUP BY doc_id, g HAVING count(*) >= 3""")
 def heading_run(spark, d):
-    from pyspark.sql import Window as W
+    """Runs of words in capitals, as the acronym passes find them."""
+    from weftline.functions.english import heading_runs
 
-    t = table(spark, d, "documents").where("doc_id < 400").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("i", "t"))
-    up = F.btrim("t", L(".,:;!?\"'()[]{}")).rlike("^[A-Z]{2,}$")
-    t = t.where(up).withColumn("g", C("i") - F.row_number().over(W.partitionBy("doc_id").orderBy("i")))
-    return t.groupBy("doc_id", "g").agg(F.min("i").cast("long").alias("first"), F.count("*").alias("n")).where("n >= 3").drop("g")
+    text = F.concat("text", F.when(C("doc_id") % 3 == 0, ' THE "BIG" RED, HOUSE').otherwise(""))
+    runs = mapped(lambda t: [{"first": k, "n": n} for _, _, k, n in heading_runs(t)], T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("n", T.LongType())])))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(runs(text)).alias("r")).select("doc_id", "r.*")
 
 
-@query("set_membership", "SELECT c_custkey, c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS listed FROM customer")
+@query("set_membership", "SELECT c_custkey, (['NASA', 'FBI', 'RADAR', 'EU'])[c_custkey % 4 + 1] AS word, c_custkey % 4 IN (0, 2) AS listed FROM customer")
 def set_membership(spark, d):
-    words = F.array(L("AUTOMOBILE"), L("BUILDING"))
-    return table(spark, d, "customer").select("c_custkey", F.array_contains(words, C("c_mktsegment")).alias("listed"))
+    """Words that the list of acronyms read as words holds."""
+    from weftline.sources.lexicons import lexicon
+
+    words = lexicon(spark, "en_acronyms").select(C("key").alias("word"), L(True).alias("there"))
+    c = table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(L, ("NASA", "FBI", "RADAR", "EU"))), (C("c_custkey") % 4 + 1).cast("int")).alias("word"))
+    return c.join(F.broadcast(words), "word", "left").select("c_custkey", "word", F.coalesce("there", L(False)).alias("listed"))
 
 
-@query("lexicon_lookup", "SELECT c_custkey, coalesce(map {'AUTOMOBILE': 'auto', 'BUILDING': 'talo', 'MACHINERY': 'kone'}[c_mktsegment], c_mktsegment) AS said FROM customer")
+@query("lexicon_lookup", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'and so on' WHEN 1 THEN 'Doctor' WHEN 2 THEN 'Professor' ELSE c_mktsegment END AS said FROM customer")
 def lexicon_lookup(spark, d):
-    from weftline.functions.scalars import lookup
+    """Abbreviations by the word list, one of them by a user's own entry; other words stay."""
+    from weftline.sources.lexicons import lexicon
 
-    found = lookup({"AUTOMOBILE": "auto", "BUILDING": "talo", "MACHINERY": "kone"}, C("c_mktsegment"), None)
-    return table(spark, d, "customer").select("c_custkey", F.coalesce(found, "c_mktsegment").alias("said"))
+    said = lexicon(spark, "en_abbreviations", overrides={"en_abbreviations": {"etc.": "and so on"}}).select(C("key").alias("word"), "value")
+    k = C("c_custkey") % 4
+    c = table(spark, d, "customer").select("c_custkey", F.when(k == 0, "etc.").when(k == 1, "Dr.").when(k == 2, "Prof.").otherwise(C("c_mktsegment")).alias("word"))
+    return c.join(F.broadcast(said), "word", "left").select("c_custkey", F.coalesce("value", "word").alias("said"))
 
 
 @query("fi_normalize")

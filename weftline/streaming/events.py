@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,35 +27,58 @@ STAGES = ("asr", "diarize", "bucket", "write")
 SUCCESS = r"(?i)valmis|✔|^\[done\]"
 
 
+#: How lines of each kind begin: most lines are told apart without a pattern.
+BEGINS = {"chunk": "[chapter ", "setup_total": "[setup] total", "setup_cached": "[setup] cached", "chapter_start": "[chapter ", "chapter_done": "[chapter ", "full_done": "[full]", "done": "[done]", "error": "[error]", "signal": "[signal]"}
+#: What lines of a kind with a common beginning hold besides.
+HOLDS = {"chunk": "] chunk ", "chapter_start": "] idx=", "chapter_done": "] wrote "}
+
+
 def kind_of(line: Column) -> Column:
     out = F.lit("log")
     for name, pattern in reversed(KINDS):
-        out = F.when(line.rlike(pattern), name).otherwise(out)
+        likely = line.startswith(BEGINS[name])
+        if name in HOLDS:
+            likely = likely & line.contains(HOLDS[name])
+        out = F.when(likely & line.rlike(pattern) if name not in ("error", "signal") else likely, name).otherwise(out)
     return out
 
 
+#: Groups of each kind's pattern that are kept: kind -> field -> group.
+FIELDS = {
+    "chunk": {"chapter_idx": 1, "chapter_total": 2, "chunk_idx": 3, "chunk_total": 4, "total_done": 5, "total_chunks": 6, "elapsed": 7, "eta": 8, "rtf": 9},
+    "setup_total": {"total_chunks": 1}, "setup_cached": {"total_done": 1, "total_chunks": 2}, "chapter_start": {"chapter_idx": 1, "chapter_total": 2, "chunk_total": 5},
+    "chapter_done": {"chapter_idx": 1, "chapter_total": 2, "output_path": 3}, "full_done": {"output_path": 1}, "done": {"total_done": 1, "total_chunks": 2},
+}
+_SIGN = "\x01"
+
+
 def events(lines: DataFrame) -> DataFrame:
-    """``line`` as kind and fields; fields that a kind lacks are null. Columns other than ``line`` pass through."""
-    line = F.regexp_replace("line", r"[\r\n]+$", "")
+    """``line`` as kind and fields; fields that a kind lacks are null. Columns other than ``line`` pass through.
+
+    A line's fields come from one replacement by its kind's pattern, which leaves the groups between control signs."""
     keep = [c for c in lines.columns if c != "line"]
-    t = lines.select(*keep, line.alias("raw_line"))
     raw, kind = F.col("raw_line"), F.col("kind")
-
-    def field(kind_of_type: str, **where: int) -> Column:
-        patterns = dict(KINDS)
-        out = F.lit(None).cast(kind_of_type)
-        for k, group in where.items():
-            out = F.when(kind == k, F.regexp_extract(raw, patterns[k], group).try_cast(kind_of_type)).otherwise(out)
-        return out
-
-    hms = lambda g: F.when(kind == "chunk", parse_hms(F.regexp_extract(raw, CHUNK, g)))
-    return t.withColumn("kind", kind_of(raw)).select(
-        *keep, "kind",
-        field("int", chunk=1, chapter_start=1, chapter_done=1).alias("chapter_idx"), field("int", chunk=2, chapter_start=2, chapter_done=2).alias("chapter_total"),
-        field("int", chunk=3).alias("chunk_idx"), field("int", chunk=4, chapter_start=5).alias("chunk_total"),
-        field("int", chunk=5, setup_cached=1, done=1).alias("total_done"), field("int", chunk=6, setup_total=1, setup_cached=2, done=2).alias("total_chunks"),
-        hms(7).alias("elapsed_s"), hms(8).alias("eta_s"), field("double", chunk=9).alias("rtf"), field("string", chapter_done=3, full_done=1).alias("output_path"), "raw_line",
-    )
+    t = lines.select(*keep, F.regexp_replace("line", r"[\r\n]+$", "").alias("raw_line"))
+    t = t.withColumn("kind", kind_of(raw))
+    patterns, split = dict(KINDS), F.lit(None).cast("array<string>")
+    for k, fields in FIELDS.items():
+        found = F.split(F.regexp_replace(raw, f"(?s){patterns[k]}.*$", _SIGN.join(f"${g}" for g in fields.values())), _SIGN)
+        split = F.when(kind == k, found).otherwise(split)
+    t = t.withColumn("found", split)
+    where: dict[str, list[tuple[str, int]]] = {}
+    for k, fields in FIELDS.items():
+        for i, name in enumerate(fields):
+            where.setdefault(name, []).append((k, i))
+
+    def field(name: str, type_: str) -> Column:
+        place = F.lit(None).cast("int")
+        for k, i in where[name]:
+            place = F.when(kind == k, i).otherwise(place)
+        return F.get("found", place).try_cast(type_)
+
+    hms = lambda name: F.when(kind == "chunk", parse_hms(field(name, "string")))
+    numbers = [field(n, "int").alias(n) for n in ("chapter_idx", "chapter_total", "chunk_idx", "chunk_total", "total_done", "total_chunks")]
+    return t.select(*keep, "kind", *numbers, hms("elapsed").alias("elapsed_s"), hms("eta").alias("eta_s"), field("rtf", "double").alias("rtf"), field("output_path", "string").alias("output_path"), "raw_line")
 
 
 def rewrite_noise(lines: DataFrame) -> DataFrame:
@@ -109,3 +135,28 @@ def drain_updates(stream: DataFrame, folder: str, key: str) -> None:
         q.awaitTermination()
     finally:
         q.stop()
+
+
+class Stopped(Exception):
+    """Raised between micro-batches once a stop was asked for."""
+
+
+def run_batches(stream: DataFrame, folder: str, stop: Callable[[], bool] = lambda: False, seen: Callable[[int], object] = lambda batch: None) -> bool:
+    """Run a stream over what is there, each micro-batch into a folder of its number (a replayed one replaces its own rows), and ask ``stop`` before each. A batch that is
+    stopped isn't committed, so the next run begins with it. Returns whether the stream came to its end; ``seen`` gets the number of each batch that is done."""
+    def put(rows: DataFrame, batch: int) -> None:
+        if stop():
+            raise Stopped
+        rows.write.mode("overwrite").parquet(f"{folder}/out/b={batch}")
+        seen(batch)
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+        return True
+    except StreamingQueryException as e:
+        if "Stopped" not in str(e):
+            raise
+        return False
+    finally:
+        q.stop()
