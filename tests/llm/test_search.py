@@ -22,7 +22,8 @@ def _brute(ids, x, k=20):
     for i, q in zip(ids, x, strict=True):
         if i % 20 == 0:
             s = np.multiply(x, q).sum(axis=1)
-            order = sorted((-v, j) for v, j in zip(s, ids, strict=True) if j != i)[:k]
+            own = next(n for n, (j, y) in enumerate(zip(ids, x, strict=True)) if j == i and (y == q).all())
+            order = sorted((-v, j) for n, (v, j) in enumerate(zip(s, ids, strict=True)) if n != own)[:k]
             out[i] = [(j, -v) for v, j in order]
     return out
 
@@ -180,6 +181,47 @@ def test_repeated_queries_have_whole_answers_each(spark):
     assert sorted(g for g in got if g[0] == 20) == [(20, n + 1, j) for n, (j, _) in enumerate(want[20])]
 
 
+def test_another_row_of_the_query_id_is_a_candidate(spark):
+    ids, x = [20, 20, 1], [[1.0, 0], [0, 1.0], [0.5, 0.5]]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(_frame(spark, ids, x)).collect())
+    assert got == [(20, 1, 1), (20, 1, 1), (20, 2, 20), (20, 2, 20)]
+
+
+def test_hits_against_plain_subsequences(spark):
+    """Every window of every text and item, without retrieval: what it finds is found."""
+    rng = random.Random(12)
+    items = [prose(700 + i, rng.randint(8, 30), "aeinorst") for i in range(6)]
+    texts = []
+    for i in range(60):
+        w = prose(800 + i, 50, "bcdfghjk").split()
+        if i % 3:
+            item = items[i % 6].split()
+            keep = [x for x in item if rng.random() < rng.choice([0.3, 0.6, 0.8, 1.0])]
+            at = rng.randrange(len(w))
+            w[at:at] = keep
+        texts.append(" ".join(w))
+    got = _hits(spark, texts, items)
+    for i, t in enumerate(texts):
+        b, want = t.split(), []
+        for k, item in enumerate(items):
+            a = item.split()
+            most, tail = int(1.6 * len(a) + 4), a[-5:]
+            for s in range(len(b)):
+                n = _brute_lcs(a, b[s : s + most])
+                if n >= 0.6 * len(a) or (n >= 0.5 * len(a) and _brute_lcs(tail, b[s : s + most]) >= 0.8 * len(tail) and n >= 0.55 * len(a)):
+                    want.append(k)
+                    break
+        assert set(want) <= set(got[i]) and all(_brute_lcs(items[k].split(), b) >= 0.5 * len(items[k].split()) for k in got[i])
+
+
+def test_a_benchmark_in_parts(leaks):
+    docs, bench, truth = leaks
+    assert len(decontam.in_parts(bench, 10)) > 1
+    one = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontam.all_matches(docs, bench).collect()}
+    many = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontam.all_matches(docs, bench, most_items=30).collect()}
+    assert len(one) == len(many) == 600 and {i for i, h in many.items() if h} == {i for i, h in one.items() if h} == set(truth)
+
+
 def test_paraphrases_in_a_corpus_that_shares_the_words(spark):
     rng = random.Random(7)
     item = prose(901, 40, "aeinorst").split()

@@ -173,9 +173,9 @@ def search(
     codes within the radius are ranked by the original vectors: no bucket is cut. A query that finds fewer than k
     within the radius in a block takes the whole block.
 
-    Rows that are null, zero or not finite take no part; nor do arrays of another length than the commonest. A row's
-    own id is no candidate. Ties go to the smaller id; rows with one id are queries each, and have equal answers. A null id
-    is a candidate only. Empty tables give empty results.
+    Rows that are null, zero or not finite take no part; nor do arrays of another length than the commonest. A query's own row
+    is no candidate; another row of its id is one, a repeated row too. Ties go to the smaller id; rows with one id are queries each, and equal ones
+    have equal answers. A null id is a candidate only. Empty tables give empty results.
     """
     spark = vectors.sparkSession
     rows, dims, norm, n = usable(vectors)
@@ -210,9 +210,10 @@ def search(
             index, wanted = MultiIndex(m.of(x)), m.of(q, query=True)
             for i, (qid, no) in enumerate(zip(right.column("vec_id").to_pylist(), right.column("query_no").to_pylist(), strict=True)):
                 near = index.within(wanted[i], m.radius)
-                near = near[ids[near] != qid]
-                if len(near) < k:
-                    near = np.flatnonzero(ids != qid)
+                own = np.flatnonzero((ids == qid) & (x == q[i]).all(axis=1)) if (ids == qid).any() else ids[:0]
+                if len(near) - np.isin(own[:1], near).sum() < k:
+                    near = np.arange(len(ids))
+                near = np.setdiff1d(near, own[:1], assume_unique=True)
                 s = _products(x[near], q[i])
                 top = _top(s, ids[near], k)
                 for g, v in zip(got, (np.full(len(top), qid), np.full(len(top), no), ids[near][top], s[top]), strict=True):
