@@ -58,6 +58,61 @@ def test_byte_grams_stay_within_rows():
     assert (a[0] == b[0]).all() and a[2].sum() == 0 and a[1].sum() == a[0].sum() == 3
 
 
+def _plain_grams(text, dims, fold):
+    out = np.zeros(dims)
+    b = [(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32) if fold else c for c in text.encode()]
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            code = 0
+            for c in b[i : i + n]:
+                code = (code * 257 + c + 1) % 2**32
+            out[(code * 2654435761) % 2**32 >> (32 - dims.bit_length() + 1)] += 1
+    return out
+
+
+def test_language_against_plain_cosines(spoken):
+    model = language.fit(spoken, most_rows=300)
+    got = {r["doc_id"]: r for r in language.predict(spoken, model).where("doc_id < 60").collect()}
+    for r in spoken.where("doc_id < 60").collect():
+        v = np.log1p(_plain_grams(r["text"], language.DIMS, True)) * model.idf
+        cos = [float(v @ c) / float(np.linalg.norm(v)) for c in model.centroids]
+        assert got[r["doc_id"]]["lang_pred"] == model.langs[int(np.argmax(cos))]
+        assert abs(got[r["doc_id"]]["score"] - max(cos)) < 1e-4
+
+
+def test_byte_grams_of_long_texts_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from weftline.llm import features
+
+    texts = [prose(1, 300), "", prose(2, 3), prose(3, 700)]
+    whole = byte_grams(next(chunks(pa.array(texts))), 512)
+    monkeypatch.setattr(features, "PIECE", 101)
+    assert (byte_grams(next(chunks(pa.array(texts))), 512) == whole).all()
+    for fold in (True, False):
+        monkeypatch.setattr(features, "PIECE", 64)
+        assert (byte_grams(next(chunks(pa.array(texts))), 512, fold=fold)[2] == _plain_grams(texts[2], 512, fold)).all()
+
+
+def test_byte_grams_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    c = next(chunks(pa.array(["ab cd " * (4 << 20)])))
+    tracemalloc.start()
+    byte_grams(c, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+def test_ratings_of_null_labels(spark):
+    rows = [(0, 0, 0), (1, 0, None), (2, 1, 1), (3, 1, 0), (4, 1, None), (5, None, 1), (6, None, None)]
+    got = {r["k"]: r["g"] for r in spark.createDataFrame(rows, "k int, quality int, toxic int").select("k", quality.grade_column().alias("g")).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None}
+
+
 def _brute_segments(s):
     """All maximal segments: take the best segment (leftmost, shortest), then go on left and right of it."""
     best, where = 0.0, None
@@ -119,6 +174,34 @@ def test_toxicity_held_out(rated, odd, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_against_plain_scores(rated):
+    """Words, segments and evidence of each text one by one, from the model's own tokens."""
+    import math
+
+    import pyarrow as pa
+
+    from weftline.llm.words import words
+
+    docs, labels = rated
+    m = toxicity.fit(docs, labels)
+    scores = dict(zip(m.tokens.tolist(), m.scores.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, m).where("doc_id < 60").collect()}
+    for r in docs.where("doc_id < 60").collect():
+        h = words(next(chunks(pa.array([r["text"].lower()]))), signs=True).hash.tolist()
+        each = [max(0.0, m.lam * x - (m.log_k + math.log(max(len(h), 1)))) for _, _, x in _brute_segments([scores.get(x, -m.drift) for x in h])]
+        z = m.weights[0] + m.weights[1] * math.log1p(max(each, default=0.0)) + m.weights[2] * math.log1p(sum(each))
+        assert abs(got[r["doc_id"]]["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and len(got[r["doc_id"]]["segments"]) == len(each)
+
+
+def test_toxic_column_is_the_prediction(rated, odd):
+    docs, labels = rated
+    m = toxicity.fit(docs, labels)
+    for d in (docs, odd):
+        toxic = toxicity.toxic_column(d.sparkSession, m)
+        want = sorted(str(r["doc_id"]) for r in toxicity.score(d, m).where("predicted = 1").collect())
+        assert sorted(str(r["doc_id"]) for r in d.where(toxic(d["text"])).collect()) == want
+
+
 def test_toxicity_without_labels(odd, nothing, spark):
     model = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}
@@ -139,6 +222,20 @@ def test_quality_held_out(rated, odd, nothing):
     assert quality.score(nothing, quality.fit(nothing, labels.limit(0).select("doc_id", quality.grade_column().alias("grade")))).count() == 0
 
 
+def test_quality_against_plain_sums(rated):
+    docs, labels = rated
+    m = quality.fit(docs, labels.select("doc_id", quality.grade_column().alias("grade")))
+    import pyarrow as pa
+
+    got = {r["doc_id"]: r for r in quality.score(docs, m).where("doc_id < 30").collect()}
+    for r in docs.where("doc_id < 30").collect():
+        grams = np.sqrt(_plain_grams(r["text"], quality.DIMS, False))
+        counts = np.sqrt(quality.word_counts(next(chunks(pa.array([r["text"]]))), quality.DIMS)[0])
+        z = float(np.concatenate((grams / np.linalg.norm(grams), counts / np.linalg.norm(counts))) @ m.weights)
+        tail = [1 / (1 + np.exp(t - z)) for t in m.thresholds]
+        assert abs(got[r["doc_id"]]["expected_grade"] - sum(tail)) < 1e-3 and got[r["doc_id"]]["selected"] == (tail[0] >= 0.5)
+
+
 def test_ordinal_recovers_order():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 3)).astype(np.float32)

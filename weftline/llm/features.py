@@ -12,24 +12,30 @@ from weftline.llm.words import Chunk, words
 _FOLD = np.array([(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32) if b < 128 else b for b in range(256)], dtype=np.uint8)
 
 
+#: Bytes that are counted at a time: a text of any length takes some 40 times as much at most.
+PIECE = 1 << 20
+
+
 def byte_grams(c: Chunk, dims: int, *, fold: bool = True, sizes: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
     """Counts (rows x dims) of the hashed byte n-grams within each row; ``dims`` is a power of two.
-    The caller bounds the rows of a chunk."""
+    The caller bounds the rows of a chunk; its bytes are counted in pieces that overlap by a gram less one byte."""
     rows = c.hi - c.lo
-    data = (_FOLD[c.data] if fold else c.data).astype(np.uint32)
     out = np.zeros(rows * dims, dtype=np.int64)
-    length = np.diff(c.at)
-    row = np.repeat(np.arange(rows, dtype=np.int64), length)
     shift = np.uint32(32 - dims.bit_length() + 1)
-    for n in sizes:
-        if len(data) < n:
-            continue
-        code = np.zeros(len(data) - n + 1, dtype=np.uint32)
-        for j in range(n):
-            code = code * np.uint32(257) + data[j : j + len(code)] + np.uint32(1)
-        keep = row[: len(code)] == row[n - 1 :]
-        cell = ((code * np.uint32(2654435761)) >> shift).astype(np.int64) + row[: len(code)] * dims
-        out += np.bincount(cell[keep], minlength=rows * dims)
+    for lo in range(0, len(c.data), PIECE):
+        raw = c.data[lo : lo + PIECE + max(sizes) - 1]
+        data = (_FOLD[raw] if fold else raw).astype(np.uint32)
+        row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(np.clip(c.at, lo, lo + len(data))))
+        for n in sizes:
+            begins = min(PIECE, len(data) - n + 1)
+            if begins <= 0:
+                continue
+            code = np.zeros(begins, dtype=np.uint32)
+            for j in range(n):
+                code = code * np.uint32(257) + data[j : j + begins] + np.uint32(1)
+            keep = row[:begins] == row[n - 1 : n - 1 + begins]
+            cell = ((code * np.uint32(2654435761)) >> shift).astype(np.int64) + row[:begins] * dims
+            out += np.bincount(cell[keep], minlength=rows * dims)
     return out.reshape(rows, dims)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.features import bounded_sample, byte_grams, fold_of, word_counts
+from weftline.llm.store import bounded_batches
 from weftline.llm.words import Chunk, chunks
 
 DIMS = 2048
@@ -68,13 +69,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, *, rounds: int = 200,
 
 
 def grade_column():
-    """Graded rating of a label: 0 low quality, 1 good but toxic, 2 good and not toxic."""
-    return F.when(F.col("quality") != 1, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    """Graded rating of a label: 0 low quality, 1 good but toxic, 2 good and not toxic; null where what decides is null."""
+    return F.when(F.col("quality") != 1, 0).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), F.when(F.col("toxic") == 1, 1).otherwise(2))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, folds: int = 5, held_fold: int = 0, most_rows: int = 6000) -> QualityModel:
     """``ratings``: (doc_id, grade). Learns from rows whose fold isn't ``held_fold``, about ``most_rows`` of them at most,
-    the same share of each grade; thresholds are then moved back to the grades' shares of all ratings."""
+    the same share of each grade; null ids and grades are left out; thresholds are then moved back to the grades' shares of all ratings."""
     known = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_fold)).distinct()
     shares = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     picked = bounded_sample(known, "doc_id", most_rows, by="grade")
@@ -84,7 +85,7 @@ def fit(docs: DataFrame, ratings: DataFrame, *, grades: int = 3, folds: int = 5,
             for c in chunks(batch.column(1), most_rows=ROWS):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).cast(pa.int32()), pa.array([r.tobytes() for r in features(c).astype(np.float16)], pa.binary())], ["grade", "v"])
 
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("grade", "text").mapInArrow(vectors, "grade int, v binary").toArrow().sort_by([("grade", "ascending"), ("v", "ascending")])
+    got = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("grade", "text").mapInArrow(vectors, "grade int, v binary").toArrow().sort_by([("grade", "ascending"), ("v", "ascending")])
     if len(got) < 2 or len(shares) < 2:
         return QualityModel(np.zeros(2 * DIMS, dtype=np.float32), np.linspace(-1, 1, grades - 1))
     x = np.empty((len(got), 2 * DIMS), dtype=np.float32)
@@ -116,4 +117,4 @@ def score(docs: DataFrame, model: QualityModel, *, keep_tail: float = 0.5) -> Da
                     ["doc_id", "expected_grade", "tail", "tail_prob", "selected"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, expected_grade double, tail array<double>, tail_prob double, selected boolean")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, expected_grade double, tail array<double>, tail_prob double, selected boolean")

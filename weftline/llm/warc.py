@@ -164,12 +164,11 @@ def _order(r: dict) -> tuple:
     return (r["url_key"], r["ts"], -1 if r["page_id"] is None else r["page_id"], r["file"], r["offset"])
 
 
-def _write_run(fs: pafs.FileSystem, path: str, rows: Iterator[dict]) -> tuple[int, list[str]]:
-    """A sorted run as an Arrow file, in batches; returns its length and the first key of each batch."""
-    n, firsts, held = 0, [], []
+def _write_run(fs: pafs.FileSystem, path: str, rows: Iterator[dict]) -> int:
+    """A sorted run as an Arrow file, in batches; returns its length."""
+    n, held = 0, []
     with fs.open_output_stream(path) as sink, pa.ipc.new_file(sink, _ARROW) as out:
         def flush() -> None:
-            firsts.append(held[0]["url_key"])
             out.write_batch(pa.RecordBatch.from_pylist(held, schema=_ARROW))
         for r in rows:
             held.append(r)
@@ -179,7 +178,7 @@ def _write_run(fs: pafs.FileSystem, path: str, rows: Iterator[dict]) -> tuple[in
                 held = []
         if held:
             flush()
-    return n, firsts
+    return n
 
 
 def _read_run(fs: pafs.FileSystem, path: str, lo: tuple | None, hi: tuple | None) -> Iterator[dict]:
@@ -243,7 +242,7 @@ class LoserTree:
 
 def capture_runs(archives: DataFrame, folder: str, *, run_rows: int = 65536) -> DataFrame:
     """Read archives back; each file gives runs of at most ``run_rows`` captures sorted by (url key, time).
-    Returns run path, rows, and the first key of every batch."""
+    Returns run path and rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
@@ -254,8 +253,8 @@ def capture_runs(archives: DataFrame, folder: str, *, run_rows: int = 65536) ->
                 def spill() -> pa.RecordBatch:
                     held.sort(key=_order)
                     path = f"{root}/{uuid.uuid4().hex}.run"
-                    n, firsts = _write_run(fs, path, iter(held))
-                    return pa.RecordBatch.from_pydict({"run": [path], "n": pa.array([n], pa.int64()), "firsts": pa.array([firsts], pa.list_(pa.string()))})
+                    n = _write_run(fs, path, iter(held))
+                    return pa.RecordBatch.from_pydict({"run": [path], "n": pa.array([n], pa.int64())})
 
                 for r in read_archive(folder, file):
                     held.append(r)
@@ -265,7 +264,7 @@ def capture_runs(archives: DataFrame, folder: str, *, run_rows: int = 65536) ->
                 if held:
                     yield spill()
 
-    return archives.mapInArrow(read, "run string, n long, firsts array<string>")
+    return archives.mapInArrow(read, "run string, n long")
 
 
 def merged_index(spark, runs: list[str], folder: str, *, ranges: int, fan_in: int = 64, samples: int = 4096) -> DataFrame:

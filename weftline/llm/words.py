@@ -1,7 +1,8 @@
 """Vectorised words of Arrow text batches.
 
 A word is a run of bytes other than space and 0x09-0x0D; its hash ignores the case of A-Z. Texts are taken
-whole, in chunks of about a megabyte, so a task's memory doesn't depend on its batch or on the longest text.
+whole, in chunks of about a megabyte or of one longer text, so a task's memory doesn't depend on its batch. A longer text is hashed in pieces;
+its words are held together, some 33 bytes each.
 """
 
 from __future__ import annotations
