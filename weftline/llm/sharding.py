@@ -51,11 +51,12 @@ def shard_by_size(
     A record's size is its text's UTF-8 bytes (null: 0) plus ``overhead``. Records are ordered by a hash of
     their text, so equal texts lie together. A size-weighted sample of keys gives the splitters of
     ``n_shards * ranges_per_shard`` ranges. A key that several splitters share is hot: its records are dealt over
-    sub-ranges by id. A range whose measured bytes still exceed twice the mean is subdivided by key. Exact
+    sub-ranges by a hash of id and row. A range whose measured bytes still exceed twice the mean is subdivided by key. Exact
     bytes of all ranges, summed in order, give each record its place in the total, and the place its shard.
 
     Law: sizes near equal. Equal texts share a shard unless their group has more than ``whole_group_share`` of a
-    shard's bytes; such a group may be cut where a shard ends. Null and empty texts are two groups of their own.
+    shard's bytes; such a group may be cut where a shard ends. (A group that stays whole moves a shard's edge by up to half its bytes, so this share is
+    also how far a shard may be from the mean.) Null and empty texts are two groups of their own.
     Repeated rows are kept, each with a slot of its own. An empty table gives an empty result.
 
     Returns id, size, text_crc32, shard, slot (0, 1, ... within the shard).
@@ -67,7 +68,8 @@ def shard_by_size(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), text.isNull(), text).alias("h"),
     )
-    slim = written(slim, "shard-keys")
+    # a number of the row itself tells equal rows apart where a hot text is cut; it is written once and then read
+    slim = written(slim.withColumn("rid", F.monotonically_increasing_id()), "shard-keys")
     total, rows = slim.agg(F.sum("size"), F.count("*")).first()
     if not rows:
         return slim.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -81,7 +83,7 @@ def shard_by_size(
     if hot:
         parts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
         ways = F.try_element_at(parts, F.col("h"))
-        sub = F.when(ways.isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), ways).cast("int")).otherwise(sub)
+        sub = F.when(ways.isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "rid"), ways).cast("int")).otherwise(sub)
     ranged = ranged.withColumn("sub", sub)
 
     # at most ``ranges`` ranges and twice as many parts of hot keys: a table of a fixed size
@@ -89,18 +91,18 @@ def shard_by_size(
     over = ranged.groupBy("range", "sub").agg(F.sum("size").alias("b")).where(F.col("b") > 2 * mean).select("range", "sub", F.ceil(F.col("b") / mean).cast("int").alias("ways"))
     ranged = (
         ranged.join(F.broadcast(over), ["range", "sub"], "left")
-        .withColumn("part", F.when(F.col("ways").isNull(), 0).when(F.col("sub") < _REST, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("ways"))).otherwise(F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("ways"))).cast("int"))
+        .withColumn("part", F.when(F.col("ways").isNull(), 0).when(F.col("sub") < _REST, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "rid"), F.col("ways"))).otherwise(F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("ways"))).cast("int"))
         .drop("ways")
     )
     cell = ["range", "sub", "part"]
     before = W.orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)
     starts = ranged.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("n")).select(*cell, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("byte0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row0"))
 
-    inside = W.partitionBy(*cell).orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*cell).orderBy("h", "doc_id", "rid").rowsBetween(W.unboundedPreceding, W.currentRow)
     group = W.partitionBy(*cell, "h")
     placed = (
         ranged.withColumn("run", F.sum("size").over(inside))
-        .withColumn("row", F.row_number().over(W.partitionBy(*cell).orderBy("h", "doc_id", "size")))
+        .withColumn("row", F.row_number().over(W.partitionBy(*cell).orderBy("h", "doc_id", "rid")))
         .withColumn("g_bytes", F.sum("size").over(group))
         .withColumn("g_end", F.max("run").over(group))
         .join(F.broadcast(starts), cell)
