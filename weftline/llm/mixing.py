@@ -106,7 +106,7 @@ def mix_plan(
     quotas = [max(1, round(t / about)) if t > 0 else 0 for t in targets]
     tree = split_tree(quotas, n_shards, seed)
     rows = [
-        (r["source"], n, t, max(1, -(-r["n"] // rows_per_cell)), q, t / max(q, 1), _stride(max(q, 1), seed), [int(x) for x in np.cumsum(tree[i])])
+        (r["source"], n, t, max(1, -(-r["n"] // rows_per_cell)), max(q, 1), t / q if q else 1.0, _stride(max(q, 1), seed), [int(x) for x in np.cumsum(tree[i])])
         for i, (r, n, t, q) in enumerate(zip(found, sizes, targets, quotas, strict=True))
     ]
     spark = docs.sparkSession
@@ -122,13 +122,13 @@ def mix_plan(
     line = on.withColumn("run", F.sum("size").over(run)).join(cells, F.col("source").eqNullSafe(F.col("csource")) & (F.col("cell") == F.col("ccell")))
     line = line.withColumn("start", F.col("base") + F.col("run") - F.col("size"))
     middle = lambda e: e * F.col("source_size") + F.col("start") + F.col("size") / 2.0
-    # a middle on the very end of the line belongs to the last block
+    # a source without a quota has no block that a shard drew; a middle on the very end of the line belongs to the last block
     block = lambda e: F.when(middle(e) <= F.col("target"), F.least(F.floor(middle(e) / F.col("block")), F.col("quota") - 1))
     drawn = lambda b: F.size(F.filter("ends", lambda x: x <= (b * F.col("stride")) % F.col("quota")))
     place = lambda e: F.struct(e.cast("int").alias("copy"), block(e).alias("block"), drawn(block(e)).alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "text_key", e).alias("shuffle_key"))
     epochs = F.array(*[F.lit(e) for e in range(int(np.ceil(most)))])
     places = F.filter(F.transform(epochs, place), lambda p: p["block"].isNotNull() & (p["shard"] < n_shards))
-    line = line.withColumn("places", F.when((F.col("size") > 0) & (F.col("quota") > 0), places).otherwise(F.filter(F.transform(epochs, place), lambda p: F.lit(False))))
+    line = line.withColumn("places", F.when(F.col("size") > 0, places).otherwise(F.filter(F.transform(epochs, place), lambda p: F.lit(False))))
     copies = F.size("places").cast("long")
     return line.select("doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "places")
 
