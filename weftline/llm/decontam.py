@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.store import bounded_batches, written
 from weftline.llm.words import Chunk, Words, chunks, words
 
 #: Words of a passage, and how far apart passages begin.
 SPAN, STEP = 24, 8
-DF_CELLS = 1 << 18
 _U = np.uint64
 
 
@@ -35,14 +35,14 @@ def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Latent:
-    """Items as word hashes, their vocabulary with idf and latent vectors, and the latent vectors of their passages."""
+    """Items as word hashes, their vocabulary with idf and (weighted) latent vectors, and the latent vectors of their passages."""
 
     items: tuple[np.ndarray, ...]
     item_ids: tuple[int, ...]
     vocab: np.ndarray
     idf: np.ndarray
     idf_else: float
-    basis: np.ndarray
+    rows: np.ndarray
     passages: np.ndarray
     passage_item: np.ndarray
 
@@ -66,7 +66,7 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[int, np.nd
         got = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(got, -1)), pa.array(np.append(seen[got], n))], ["w", "n"])
 
-    rows = docs.select(F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = bounded_batches(docs).select(F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(len(vocab)), 0
     for r in rows:
         if r["w"] < 0:
@@ -125,15 +125,19 @@ def randomised_svd(items: DataFrame, vocab: np.ndarray, idf: np.ndarray, rank: i
     return (q @ u)[:, :rank]
 
 
-def _latent(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, idf: np.ndarray, basis: np.ndarray, idf_else: float) -> tuple[np.ndarray, np.ndarray]:
+def _weighted(idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """What each word adds to a passage's latent vector; the last row is that of all other words."""
+    return np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+
+
+def _latent(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, idf: np.ndarray, rows: np.ndarray, idf_else: float) -> tuple[np.ndarray, np.ndarray]:
     """Unit latent vectors of passages, and the share of their TF-IDF norm that the vocabulary has."""
     w = np.append(idf, 0.0)[at]
     sq = np.concatenate(([0.0], np.cumsum(w * w)))
     other = np.concatenate(([0.0], np.cumsum(np.where(at == len(idf), idf_else**2, 0.0))))
     own, rest = sq[hi] - sq[lo], other[hi] - other[lo]
     share = np.sqrt(own / np.maximum(own + rest, 1e-12))
-    rows = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    y = np.zeros((len(lo), basis.shape[1]), dtype=np.float32)
+    y = np.zeros((len(lo), rows.shape[1]), dtype=np.float32)
     for k in range(0, len(lo), 512):
         a, b = lo[k : k + 512, None], hi[k : k + 512, None]
         i = a + np.arange(SPAN)
@@ -144,12 +148,12 @@ def _latent(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, idf: np.ndarray, bas
 
 def fit(docs: DataFrame, benchmark: DataFrame, *, rank: int = 96, most_items: int = 100_000) -> Latent:
     """The latent space of the benchmark's passages, with word weights from all documents. The benchmark goes to every
-    executor, so it has to have at most ``most_items`` items (else an error says so); the corpus may have any size.
-    Null and empty items are left out."""
+    executor, so it has to have at most ``most_items`` items (else an error says so; ``in_parts`` makes parts of a larger one); the corpus may
+    have any size. Null and empty items are left out."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.col("text").isNotNull())
     table = rows.limit(most_items + 1).toArrow()
     if len(table) > most_items:
-        raise ValueError(f"the benchmark has more than {most_items} items; fit it in parts")
+        raise ValueError(f"the benchmark has more than {most_items} items; fit it in_parts")
     items, ids = [], []
     for c in chunks(table.column("text").combine_chunks()) if len(table) else ():
         w = words(c, signs=True)
@@ -164,12 +168,34 @@ def fit(docs: DataFrame, benchmark: DataFrame, *, rank: int = 96, most_items: in
     idf_else = float(np.log(n + 1) * 0.75 + 0.1)
     if not items:
         return Latent((), (), vocab, idf, idf_else, np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, dtype=np.int64))
-    basis = randomised_svd(rows, vocab, idf, min(rank, len(vocab)))
+    each = _weighted(idf, randomised_svd(rows, vocab, idf, min(rank, len(vocab))))
     first = np.concatenate(([0], np.cumsum([len(h) for h in items])))
     at = _find(vocab, np.concatenate(items))
     lo, hi = _blocks(first)
-    vec, _ = _latent(at, lo, hi, idf, basis, idf_else)
-    return Latent(tuple(items), tuple(ids), vocab, idf, idf_else, basis, vec, np.searchsorted(first, lo, side="right") - 1)
+    vec, _ = _latent(at, lo, hi, idf, each, idf_else)
+    return Latent(tuple(items), tuple(ids), vocab, idf, idf_else, each, vec, np.searchsorted(first, lo, side="right") - 1)
+
+
+def in_parts(benchmark: DataFrame, most_items: int = 100_000) -> list[DataFrame]:
+    """A benchmark of any size in parts that ``fit`` takes, by a hash of the item's id and text."""
+    n = benchmark.count()
+    ways = 1 if n <= most_items else -(-2 * n // most_items)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(ways))
+    return [benchmark] if ways == 1 else [benchmark.where(part == k) for k in range(ways)]
+
+
+def all_matches(docs: DataFrame, benchmark: DataFrame, *, most_items: int = 100_000, **options) -> DataFrame:
+    """``matches`` against a benchmark of any size: a pass for each part of it, one part's model on the executors at a time, between passes a
+    written table. doc_id and hits, the best first."""
+    parts = in_parts(benchmark, most_items)
+    if len(parts) == 1:
+        return matches(docs, fit(docs, benchmark, most_items=most_items), **options)
+    out = docs.select("doc_id", "text", F.array().cast(_HIT).alias("hits so far"))
+    for part in parts:
+        found = matches(out, fit(docs, part, most_items=most_items), keep=[F.col("doc_id"), F.col("text"), F.col("`hits so far`")], **options)
+        out = written(found.select("doc_id", "text", F.concat("hits so far", "hits").alias("hits so far")), "hits")
+    best = lambda x, y: F.when(x["lcs"] != y["lcs"], F.when(x["lcs"] > y["lcs"], -1).otherwise(1)).when(x["item_id"] < y["item_id"], -1).when(x["item_id"] > y["item_id"], 1).otherwise(0)
+    return out.select("doc_id", F.array_sort("hits so far", best).alias("hits"))
 
 
 def _steps(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -251,7 +277,7 @@ def tested(m: Latent, c: Chunk, w: Words, *, cosine: float, ratio: float, answer
     some = np.flatnonzero(own >= cosine**2 * np.maximum(own + out, 1e-12) * (1 - 1e-6))
     if not len(some):
         return []
-    vec, part = _latent(at, lo[some], hi[some], m.idf, m.basis, m.idf_else)
+    vec, part = _latent(at, lo[some], hi[some], m.idf, m.rows, m.idf_else)
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(0, len(some), 2048):
         cos = ((vec[k : k + 2048] * part[k : k + 2048, None].astype(np.float32)) @ m.passages.T).ravel()
@@ -329,7 +355,7 @@ def matches(
     LCS ratio, answer and the bytes (of the lower-cased text) from the first to the last common word. Rows without hits, null and empty texts have
     an empty array; repeated rows agree; empty tables give empty results or no hits."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(*([F.col("doc_id")] if keep is None else keep), F.lower(F.col("text").cast("string")).alias("lower text"))
+    base = bounded_batches(docs).select(*([F.col("doc_id")] if keep is None else keep), F.lower(F.col("text").cast("string")).alias("lower text"))
     at, passing = len(base.columns) - 1, base.schema.fields[:-1]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,3 +371,20 @@ def matches(
                 yield pa.RecordBatch.from_arrays([*own, pa.array(hits, _HIT_PA)], [f.name for f in passing] + ["hits"])
 
     return base.mapInArrow(apply, T.StructType([*passing, T.StructField("hits", _HIT)]))
+
+
+def contaminated_column(spark: SparkSession, model: Latent, *, cosine: float = 0.2, ratio: float = 0.6, answer_ratio: float = 0.5, answer_words: int = 5) -> Callable[[Column], Column]:
+    """A function of a text column: whether ``matches`` finds a hit in it. Only texts go to Python, other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        out = []
+        for c in chunks(texts):
+            some = np.zeros(c.hi - c.lo, dtype=bool)
+            for row, *_ in tested(shared.value, c, words(c, signs=True), cosine=cosine, ratio=ratio, answer_ratio=answer_ratio, answer_words=answer_words):
+                some[row] = True
+            out.append(some)
+        return pa.array(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+
+    return lambda text: hit(F.lower(text.cast("string")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.features import bounded_sample, byte_grams, fold_of
+from weftline.llm.store import bounded_batches
 from weftline.llm.words import chunks
 
 DIMS = 4096
@@ -55,7 +56,7 @@ def fit(docs: DataFrame, *, folds: int = 3, held_fold: int = 1, most_rows: int =
     """Document frequencies come from all rows whose fold is not ``held_fold`` and whose lang is known; centroids
     (``per_language`` clusters each) from a bounded sample of about ``most_rows`` of them. A centroid's least cosine
     is the ``reject`` quantile over its cluster."""
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_fold))
+    known = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_fold))
 
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = 0, np.zeros(DIMS, dtype=np.int64)
@@ -123,4 +124,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     top, far, name = np.zeros(len(ok)), np.ones(len(ok), dtype=bool), ["und"] * len(ok)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).cast(pa.int64()), pa.array(name), pa.array(np.where(ok, top, 0.0)), pa.array(far | ~ok)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), letter.alias("letter"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, lang_pred string, score double, rejected boolean")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), letter.alias("letter"), F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, lang_pred string, score double, rejected boolean")

@@ -46,7 +46,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontam.matches(docs, decontam.fit(docs, _read(spark, sf_dir, "benchmark")))
+    out = decontam.all_matches(docs, _read(spark, sf_dir, "benchmark"))
     best = F.try_element_at("hits", F.lit(1))
     return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"), best["item_id"].alias("item_id"), best["lcs"].alias("lcs"), best["cosine"].alias("cosine"), best["answer"].alias("answer"))
 

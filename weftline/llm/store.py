@@ -41,6 +41,38 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; rows alone don't bound it where texts are long.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python workers batches of ``BATCH_BYTES`` (and a row) at most; a smaller bound of the user's stays."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_KEY, "2147483647")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
+class Scratch:
+    """Written tables that go together, once what was made of them is written itself."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df)
+        return df
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        return self.add(written(df, tag))
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def sized(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.features import bounded_sample, fold_of
+from weftline.llm.store import bounded_batches
 from weftline.llm.words import Chunk, chunks, words
 
 SEGMENTS = "array<struct<start:int,end:int,score:double>>"
@@ -135,7 +136,7 @@ def fit(
     fold = fold_of(F.col("doc_id"), folds)
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.col("fold") != held_fold))
     picked = bounded_sample(usable.distinct(), "doc_id", most_labels, by="toxic")
-    texts = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(picked), "doc_id").select("fold", "toxic", "text")
+    texts = bounded_batches(docs).select("doc_id", F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(picked), "doc_id").select("fold", "toxic", "text")
     last = folds - 1 if held_fold != folds - 1 else folds - 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,23 +187,38 @@ def fit(
     return ToxicModel(model.tokens, model.scores, drift, lam, log_k, tuple(float(v) for v in b))
 
 
+def probabilities(model: ToxicModel, found: list[tuple[int, list[tuple[int, int, float]]]]) -> np.ndarray:
+    ev = np.array([evidence(model, n, f) for n, f in found]).reshape(len(found), 2)
+    return _sigmoid(model.weights[0] + ev @ np.array(model.weights[1:]))
+
+
+def toxic_column(spark: SparkSession, model: ToxicModel) -> Callable[[Column], Column]:
+    """A function of a text column: whether its score is at least one half. Only texts go to Python, other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def toxic(texts: pa.Array) -> pa.Array:
+        out = [probabilities(shared.value, list(passages(shared.value, c))) >= 0.5 for c in chunks(texts)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+
+    return lambda text: toxic(F.lower(text.cast("string")))
+
+
 def score(docs: DataFrame, model: ToxicModel, *, keep: list[Column] | None = None) -> DataFrame:
     """doc_id, score (0 to 1), predicted and segments (byte offsets in the lower-cased text of every maximal passage and its score) of
     every row's whole text; columns in ``keep`` pass through. Null and empty texts have no segment and the least score.
     Repeated rows have equal scores; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(*([F.col("doc_id")] if keep is None else keep), F.lower(F.col("text").cast("string")).alias("lower text"))
+    base = bounded_batches(docs).select(*([F.col("doc_id")] if keep is None else keep), F.lower(F.col("text").cast("string")).alias("lower text"))
     at, passing = len(base.columns) - 1, base.schema.fields[:-1]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        b0, b1, b2 = m.weights
         names = [f.name for f in passing] + ["score", "predicted", "segments"]
         for batch in batches:
             for c in chunks(batch.column(at)):
                 got = list(passages(m, c))
-                ev = np.array([evidence(m, n, f) for n, f in got]).reshape(len(got), 2)
-                p = _sigmoid(b0 + ev @ np.array([b1, b2]))
+                p = probabilities(m, got)
                 segs = pa.array([[{"start": a, "end": b, "score": x} for a, b, x in f] for _, f in got], _SEG)
                 own = [batch.column(i).slice(c.lo, c.hi - c.lo) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), segs], names)
