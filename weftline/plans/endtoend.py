@@ -46,5 +46,5 @@ def analyze_recordings(spark, d):
 @query("plan_books")
 def plan_books(spark, d):
     """Documents as books, from lines to spoken chunks with their length."""
-    chapters = X.split_chapters(X.lines_with_headings(table(spark, d, "documents").where("lang = 'en'"), every=200))
+    chapters = X.split_chapters(X.lines_with_headings(spread(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")), every=200))
     return A.book_plan(spread(chapters), "en")

@@ -16,7 +16,7 @@ from weftline.plans import cleaning_sql as Q
 from weftline.plans.logs import _folder
 from weftline.plans.registry import query
 from weftline.plans.speech import _GOOD, _JOINED, _TIER, _chunks
-from weftline.session import table
+from weftline.session import spread, table
 from weftline.sources import books as B
 from weftline.sources import derived as D
 from weftline.sources import records as R
@@ -193,7 +193,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx,
 UNION ALL SELECT doc_id, 0, 'Kirja', md5(content), 1, (SELECT max(page) FROM l WHERE l.doc_id = w.doc_id) FROM w""")
 def src_pdf(spark, d):
     """Chapters of extracted pages: every document is a book with a page for each paragraph."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
     no = C("page_no") + 1
     pages = docs.select("doc_id", no.alias("page_no"), F.concat(F.when(no % 4 == 0, F.concat(L("Chapter "), _s(no), L("\n"))).otherwise(""), "text").alias("text"))
     return B.pages_to_chapters(pages).select("doc_id", "idx", "title", F.md5(C("content").cast("binary")).alias("digest"), "page_start", "page_end")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as S
 from weftline.plans import cleaning_sql as Q
 from weftline.plans.registry import query
-from weftline.session import table
+from weftline.session import spread, table
 from weftline.sources import derived as D
 
 _SEG = f"WITH {D.SEGMENTS_SQL} "
@@ -231,4 +231,4 @@ def looks_like_heading(spark, d):
     from weftline.operators.text import heading, lines_with_headings
 
     s = F.trim("line")
-    return lines_with_headings(table(spark, d, "documents")).where(s != "").select("doc_id", "n", heading(s).alias("heading"))
+    return lines_with_headings(spread(table(spark, d, "documents").select("doc_id", "text"))).where(s != "").select("doc_id", "n", heading(s).alias("heading"))

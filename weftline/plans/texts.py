@@ -14,7 +14,7 @@ from weftline.session import spread, table
 def _raw(spark, d):
     """Documents with a page number after each paragraph, and hyphens at line ends."""
     t = F.regexp_replace(F.col("text"), "\n", "\n Page 12 \n\n\n")
-    return table(spark, d, "documents").select("doc_id", F.concat(t, F.lit("\nend-\nof the li-\nne "), (F.col("doc_id") % 9).cast("string"), F.lit("-\nAb\u00ad\n cd")).alias("raw"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat(t, F.lit("\nend-\nof the li-\nne "), (F.col("doc_id") % 9).cast("string"), F.lit("-\nAb\u00ad\n cd")).alias("raw"))
 
 
 _RAW_SQL = """raw AS (SELECT doc_id, replace(text, chr(10), chr(10) || ' Page 12 ' || chr(10) || chr(10) || chr(10)) || chr(10) || 'end-' || chr(10) || 'of the li-' || chr(10) || 'ne ' || doc_id % 9 || '-' || chr(10) || 'Ab' || chr(173) || chr(10) || ' cd' AS r FROM documents)"""
@@ -104,7 +104,7 @@ def book_totals(spark, d):
 @query("split_chapters", f"""WITH {Q.LINES}, {Q.CHAPTERS}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS idx, coalesce(title, 'Alkusanat') AS title, content FROM c UNION ALL SELECT doc_id, 0, 'Kirja', content FROM w WHERE content <> ''""")
 def split_chapters(spark, d):
-    return X.split_chapters(X.lines_with_headings(table(spark, d, "documents"))).where("content <> ''")
+    return X.split_chapters(X.lines_with_headings(spread(table(spark, d, "documents").select("doc_id", "text")))).where("content <> ''")
 
 
 @query("dry_run_plan", "WITH c AS (SELECT source, doc_id % 10 AS chapter, sum(length(text))::BIGINT AS chars, sum(ceil(length(text) / 300.0))::BIGINT AS chunks FROM documents GROUP BY ROLLUP (source, chapter)) SELECT source, chapter, chars, chunks, chunks * 15 AS audio_s, round(chunks * 15 * 0.17, 6) AS synth_s FROM c")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import table
+from weftline.session import spread, table
 
 #: Event types that count as transcript segments.
 SEGMENT_TYPES = ("click", "view")
@@ -106,7 +106,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, F.concat(F.lit("[done] "), s(qty), F.lit("/60 chunks")))
         .otherwise(F.when(n % 3 == 0, "[error] device lost").when(n % 3 == 1, F.concat(F.lit("WARNING: Detected "), s(2 + n), F.lit("x repetition of token "), s(o % 7000), F.lit(" at position "), s(qty))).otherwise("Forcing EOS generation to prevent loop."))
     )
-    return table(spark, sf_dir, "lineitem").select((o % 50).alias("job_id"), ((o * 10 + n) * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000).alias("line_no"), line.alias("line"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return lines.select((o % 50).alias("job_id"), ((o * 10 + n) * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000).alias("line_no"), line.alias("line"))
 
 
 LOGS_SQL = """logs AS (SELECT l_orderkey % 50 AS job_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey % 10000 AS line_no, CASE (l_orderkey + l_linenumber) % 8
