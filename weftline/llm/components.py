@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.store import written
+from weftline.llm.store import discard, written
 
 
 def _state(e: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     written to the shared folder after each round. Nothing is gathered on the driver but a count and a checksum.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "cc")
+    e = start = written(e, "cc")
     was = _state(e)
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = written(e, "cc")
+        before, e = start, written(e, "cc")
+        start = e
+        discard(before)
         now = _state(e)
         if now == was:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -12,25 +13,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.llm.components import components
-from weftline.llm.store import discard, sized, written
+from weftline.llm.store import Scratch, bounded_batches, discard, sized, written
 from weftline.llm.words import chunks, mix64, shingles, words
 
-#: Share of the hash space that is listed, so that very common shingles can be put last within it.
-ZONE = 0.26
-_CUT = np.uint64(int(ZONE * 2**64))
-#: Of how many shingles a set's list entries make a link certain to show several times: one in this many.
-EXTRA = 100
-_SIG = np.uint64(0xD6E8FEB86659FD93)
+_U = np.uint64
+_SIG, _PART, _PLACE = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0x9E3779B97F4A7C15)
+#: Bits of a token that name its size class.
+CLASS_BITS = 6
+#: One part in ``SPARE`` of the largest size of a class is added to the parts that differences can touch, so that a link shows in many.
+SPARE = 50
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's first shingles, in any global order, are listed. Two sets x, y with 100 * overlap >= percent * union
-    share at least ``shared_least`` of the smaller one among them: n - t + k first ones share k if the overlap is t."""
-    return min(n, n - -(-n * percent // 100) + 1 + n // EXTRA)
+@dataclass(frozen=True)
+class Classes:
+    """Size classes of sets, and into how many parts the sets of a class are cut.
+
+    Two sets x, y with 100 * overlap >= percent * union differ in at most ``most(|x| + |y|)`` shingles. The hash space is cut into so many parts
+    that more of them than these are left over: of the ``parts`` of a class two linked sets have at least parts - most(|x| + |y|) wholly
+    in common. A pair is sought in the class of its smaller set, so a set is listed in its own class and, if a smaller partner
+    can be there, in the one below."""
+
+    percent: int
+
+    @property
+    def lows(self) -> list[int]:
+        """The smallest size of each class; no link spans more than two neighbouring ones."""
+        ratio, out = max(1.5, 105 / self.percent), [1]
+        while out[-1] < 1 << 40 and len(out) < 1 << CLASS_BITS:
+            out.append(max(out[-1] + 1, -int(-out[-1] * ratio // 1)))
+        return out
+
+    def most(self, sizes):
+        """The most shingles in which linked sets of ``sizes`` (both together) can differ; for numbers, arrays and columns."""
+        if isinstance(sizes, Column):
+            return F.floor(sizes * (100 - self.percent) / (100 + self.percent) + 1e-9).cast("long")
+        return sizes * (100 - self.percent) // (100 + self.percent)
+
+    @property
+    def parts(self) -> list[int]:
+        tops = [x - 1 for x in self.lows[1:]]
+        return [int(self.most(u + u * 100 // self.percent)) + 1 + u // SPARE for u in tops]
+
+    @property
+    def shared(self) -> list[int]:
+        """How many parts linked sets are asked to share within their first ones; never more than are left over."""
+        return [1 + (x - 1) // (3 * SPARE) for x in self.lows[1:]]
 
 
 def signature(s: np.ndarray) -> int:
-    return int((mix64(np.add.reduce(mix64(s ^ _SIG), keepdims=True) + np.uint64(len(s)))).view(np.int64)[0])
+    """A hash of a set. Sets of one hash are taken as equal: among n different sets about n * n / 2**65 pairs are so by chance."""
+    return int((mix64(np.add.reduce(mix64(s ^ _SIG), keepdims=True) + _U(len(s)))).view(np.int64)[0])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -39,27 +71,47 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, n_words: int, percent: int, *, key: Column | None = None) -> DataFrame:
-    """doc_id, ``key`` (a long of the row, if given), n (distinct shingles), sig (a hash of the set; null if empty), zone (the set's least hashes, in order) and
-    low (how many of them lie in the listed share of the hash space)."""
+def part_tokens(flat: np.ndarray, sizes: np.ndarray, cls: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One token for each part of each set (the sorted hashes of all sets end to end): a hash of the shingles that lie in the part, of
+    its place and, in the lowest bits, of the class. Returns the tokens end to end, and how many each set has."""
+    m = parts[cls]
+    if not len(m):
+        return np.zeros(0, dtype=np.uint64), m
+    first = np.concatenate(([0], np.cumsum(m)))
+    part = ((flat >> _U(32)) * np.repeat(m, sizes).astype(np.uint64) >> _U(32)).astype(np.int64) + np.repeat(first[:-1], sizes)
+    run = np.concatenate((np.zeros(1, dtype=np.uint64), np.add.accumulate(mix64(flat ^ _PART))))
+    cut = np.searchsorted(part, np.arange(first[-1] + 1))
+    place = np.arange(first[-1]) - np.repeat(first[:-1], m)
+    h = mix64((run[cut[1:]] - run[cut[:-1]]) + mix64(place.astype(np.uint64) * _PLACE + (cut[1:] - cut[:-1]).astype(np.uint64)))
+    return (h >> _U(CLASS_BITS) << _U(CLASS_BITS)) | np.repeat(cls, m).astype(np.uint64), m
+
 
+def shingle_sets(docs: DataFrame, n_words: int, percent: int, *, key: Column | None = None) -> DataFrame:
+    """doc_id, ``key`` (a long of the row, if given), n (distinct shingles), sig (a hash of the set; null if empty) and the tokens of the
+    set's parts in its own class (own) and in the one below (below)."""
     own = [0] if key is None else [0, 2]
+    kinds = Classes(percent)
+    lows, parts = np.array(kinds.lows), np.array(kinds.parts)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                n, sig, zone, low = [], [], [], []
-                for s in shingles(words(c), n_words):
-                    m = int(np.searchsorted(s, _CUT))
-                    k = max(prefix_length(len(s), percent), m) if len(s) else 0
-                    n.append(len(s))
-                    low.append(m)
-                    sig.append(signature(s) if len(s) else None)
-                    zone.append(s[:k])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.lo, c.hi - c.lo).cast(pa.int64()) for i in own), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(low, pa.int64()), _lists(zone)], [*(batch.schema.names[i] for i in own), "n", "sig", "low", "zone"])
+                sets = list(shingles(words(c), n_words))
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                cls = np.searchsorted(lows, n, side="right") - 1
+                under = (cls > 0) & (n * percent <= 100 * (lows[np.maximum(cls, 0)] - 1))
+                got = []
+                for some, of in ((n > 0, cls), (under, cls - 1)):
+                    mine = [s for s, x in zip(sets, some.tolist(), strict=True) if x]
+                    tokens, m = part_tokens(np.concatenate(mine) if mine else np.zeros(0, dtype=np.uint64), n[some], of[some], parts)
+                    count = np.zeros(len(n), dtype=np.int64)
+                    count[some] = m
+                    got.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(tokens.view(np.int64))))
+                sig = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.lo, c.hi - c.lo).cast(pa.int64()) for i in own), pa.array(n), sig, *got], [*(batch.schema.names[i] for i in own), "n", "sig", "own", "below"])
 
     passed = [] if key is None else [key.alias("text_key")]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *passed).mapInArrow(make, f"doc_id long, {'text_key long, ' if passed else ''}n long, sig long, low long, zone array<bigint>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *passed).mapInArrow(make, f"doc_id long, {'text_key long, ' if passed else ''}n long, sig long, own array<bigint>, below array<bigint>")
 
 
 def _fits(x: Column, y: Column, percent: int) -> Column:
@@ -118,23 +170,35 @@ def tested(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_words: int, per
     return out
 
 
-def listed(sets: DataFrame, percent: int, hot: int) -> DataFrame:
-    """Index entries (h, sig, n, score) of shingles that at least two of ``sets`` list, as a written table.
-
-    The global order is by hash, but shingles that ``hot`` sets or more list go to the end of the listed share of the
-    hash space. Who is in a list follows from a set's own entries: a shingle's place is its rank less the hot ones before it."""
-    raw = sets.select("sig", "n", "low", F.posexplode("zone").alias("r", "h"))
-    by_h = W.partitionBy("h")
-    raw = written(raw.withColumn("c", F.count("*").over(by_h)).where("c > 1"), "near-shared")
-    own = W.partitionBy("sig")
-    is_hot = ((F.col("c") >= hot) & (F.col("r") < F.col("low"))).cast("int")
-    t = raw.withColumn("hot", is_hot).withColumn("before", F.sum("hot").over(own.orderBy("r", "h")) - F.col("hot")).withColumn("hots", F.sum("hot").over(own))
-    t = t.withColumn("score", F.round(F.sum(F.log("c")).over(own) / F.col("n"), 9))
-    place = F.when(F.col("hot") == 1, F.col("low") - F.col("hots") + F.col("before")).when(F.col("r") < F.col("low"), F.col("r") - F.col("before")).otherwise(F.col("r"))
-    n = F.col("n")
-    length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / EXTRA))
-    out = written(t.where(place < length).select("h", "sig", "n", "score"), "near-lists")
-    discard(raw)
+def _class(token: Column) -> Column:
+    return token.bitwiseAND((1 << CLASS_BITS) - 1).cast("int")
+
+
+def _per_class(values: list[int], cls: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), cls + 1)
+
+
+def listed(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists (t, sig, c, cl, n, m, pos) of parts that at least two of ``sets`` (a row for each) have alike, as a written table; c is the list's length.
+
+    Sets with too few such parts for any link are left out. The others' parts are in a global order, rare ones first (those that
+    no other set has come before all); ``pos`` is a part's position in it, from 1 to the ``m`` parts of the class."""
+    kinds = Classes(percent)
+    raw = sets.select(F.explode(F.concat("own", "below")).alias("t"), "sig")
+    # lengths are combined before the shuffle, and a join can split a long list
+    many = raw.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    shared = written(raw.join(many, "t").select("t", "sig", "c", _class(F.col("t")).alias("cl")), "near-shared")
+    n, cl = F.col("n"), F.col("cl")
+    top = _per_class(kinds.lows[1:], cl) - 1
+    reach = F.when(n > top, n + top).otherwise(n + F.floor(n * 100 / percent).cast("long"))
+    some = shared.groupBy("sig", "cl").agg(F.count("*").alias("k")).join(sets.select("sig", "n"), "sig")
+    some = some.withColumn("m", _per_class(kinds.parts, cl)).where(F.col("k") >= F.col("m") - kinds.most(reach))
+    some = written(some.select(F.col("sig").alias("s2"), F.col("cl").alias("cl2"), "n", "m", "k"), "near-some")
+    rows = shared.join(sized(some, 200_000), (F.col("sig") == F.col("s2")) & (F.col("cl") == F.col("cl2")))
+    # a set's own parts: as many as one text has at most
+    pos = F.col("m") - F.col("k") + F.row_number().over(W.partitionBy("sig", "cl").orderBy("c", "t"))
+    out = written(rows.select("t", "sig", "c", "cl", "n", "m", pos.alias("pos")), "near-lists")
+    discard(shared, some)
     return out
 
 
@@ -150,7 +214,7 @@ def _stars(lists: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _with_component(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return rows.withColumn("c", F.col("sig"))
-    return rows.join(sized(comp, 400_000), F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sig")).drop("v")
+    return rows.join(sized(comp, 200_000), F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sig")).drop("v")
 
 
 def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,45 +223,94 @@ def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def followers(tests: list[DataFrame]) -> DataFrame:
-    """(lead, sig, n, ln, o, linked, diff): sets that share most of their shingles with one they were tested against."""
+    """(lead, sig, n, ln, o, linked, diff): sets that share most of their shingles with one they were tested against; of several such leaders the one
+    with most followers counts, so that a group's sets have the same one."""
     all_ = reduce(DataFrame.union, tests)
-    close = all_.where(10 * F.col("o") >= 7 * F.greatest("an", "bn"))
-    return close.select(F.col("a").alias("lead"), F.col("b").alias("sig"), F.col("bn").alias("n"), F.col("an").alias("ln"), "o", "linked", "diff").dropDuplicates(["lead", "sig"])
+    close = all_.where(10 * F.col("o") >= 7 * F.greatest("an", "bn")).select(F.col("a").alias("lead"), F.col("b").alias("sig"), F.col("bn").alias("n"), F.col("an").alias("ln"), "o", "linked", "diff")
+    size = close.groupBy("lead").agg(F.count("*").alias("k"))
+    best = close.join(sized(size, 200_000), "lead").groupBy("sig").agg(F.max(F.struct("k", "lead", "n", "ln", "o", "linked", "diff")).alias("l"))
+    return best.select("l.lead", "sig", "l.n", "l.ln", "l.o", "l.linked", "l.diff")
 
 
-#: Classes of followers by how far they are from their leader, in steps of this share of the leader's size.
-STEP = 0.02
-
-
-def differences(follow: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Index entries (lead, cls, h, sig, n, linked, score, few, share) of followers by how they differ from their leader, and the probes
-    (lead, cls, h, sig, n, few, share) of those that don't link to it.
+def differences(follow: DataFrame, keep: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Index entries (lead, h, sig, n, r, m, few, g, score) of followers by how they differ from their leader, and the probes
+    (lead, h, sig, n, r, m, few, over) of those that don't link to it.
 
     With d shingles of the leader missing and a added, followers x, y overlap in ln - d_x - d_y + (differences that both
     have). With g = (1 - f) d + f a and f = percent / (100 + percent), they link only if at least g_x + g_y - (1 - 2 f) ln of their
-    differences are the same; a set links to the leader just if g <= (1 - 2 f) ln. So only an x that doesn't needs to be paired, and with
-    each class of y (by g) it must share so many differences that a few are among the rarest of both. Differences that
-    many followers have come last. A pair must share ``share`` (the larger of both) in all, and so as many listed ones or ``few``
-    (the smaller of both)."""
-    t = follow.join(follow.where("not linked").select("lead").distinct(), "lead")
+    differences are the same; a set links to the leader just if g <= (1 - 2 f) ln. So only an x that doesn't needs to be paired, and has
+    over_x + g_y differences in common with any y (see ``alike``). ``r`` is a difference's place among the ``m`` of its set: those that
+    many followers have come last, and those of a single one before all."""
     d, a, f = F.col("ln") - F.col("o"), F.col("n") - F.col("o"), percent / (100.0 + percent)
     m = F.size("diff")
-    t = t.withColumn("g", (1 - f) * d + f * a).withColumn("over", F.col("g") - (1 - 2 * f) * F.col("ln")).withColumn("step", F.greatest(F.lit(1.0), F.floor(STEP * F.col("ln")).cast("double")))
-    t = t.withColumn("cls", F.floor(F.col("g") / F.col("step"))).withColumn("few", 1 + F.floor(m / 8)).withColumn("top", F.max("cls").over(W.partitionBy("lead")))
-    t = t.select("lead", "sig", "n", "linked", "g", "over", "step", "cls", "few", "top", m.alias("m"), F.explode("diff").alias("h"))
-    t = t.withColumn("many", F.count("*").over(W.partitionBy("lead", "h")))
+    t = follow.withColumn("g", (1 - f) * d + f * a).withColumn("over", F.col("g") - (1 - 2 * f) * F.col("ln"))
+    # leaders of which a follower doesn't link: one row each
+    leads = t.groupBy("lead").agg(F.min("linked").alias("all")).where("not all").select("lead")
+    t = t.join(sized(leads, 200_000), "lead").select("lead", "sig", "n", "linked", "g", "over", m.alias("m"), F.explode("diff").alias("h"))
+    t = keep.written(t, "near-diff")
+    many = t.groupBy("lead", "h").agg(F.count("*").alias("many"))
+    t = t.join(many, ["lead", "h"])
     own = W.partitionBy("lead", "sig")
     t = t.withColumn("r", F.row_number().over(own.orderBy("many", "h"))).withColumn("score", F.round(F.avg(F.log("many")).over(own), 9)).where("many > 1")
-    # a millionth less: a bound may be weaker than it is, never stronger
-    share = F.greatest(F.lit(1), F.ceil(F.col("g") - 1e-6))
-    index = t.where(F.col("r") <= F.col("m") - share + F.col("few")).select("lead", "cls", "h", "sig", "n", "linked", "score", "few", share.alias("share"))
-    probe = t.where("not linked").withColumn("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))))
-    share = F.greatest(F.lit(1), F.ceil(F.col("over") + F.col("cls") * F.col("step") - 1e-6))
-    probe = probe.where(F.col("r") <= F.col("m") - share + F.col("few")).select("lead", "cls", "h", "sig", "n", "few", share.alias("share"))
-    return index, probe
+    t = t.withColumn("few", 1 + F.floor(F.col("m") / 8))
+    first = lambda least: F.col("r") <= F.col("m") - _at_least(least) + F.col("few")
+    index = t.where(first(F.col("g"))).select("lead", "h", "sig", "n", "r", "m", "few", "g", "score")
+    return index, t.where(~F.col("linked") & first(F.col("over"))).select("lead", "h", "sig", "n", "r", "m", "few", "over")
+
 
+def _at_least(x: Column) -> Column:
+    """A bound as a whole number, at least 1; a millionth less, so that it may be weaker than it is, never stronger."""
+    return F.greatest(F.lit(1), F.ceil(x - 1e-6))
 
-def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: int = 16, levels: int = 2, key: Column | None = None) -> DataFrame:
+
+def alike(index: DataFrame, probe: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one leader's followers, of different components, that differ from it alike enough. Sets that have ``share`` differences in
+    common have ``few`` of them among the first m - share + few of both, so later places of either are skipped."""
+    x, y = probe.alias("x"), index.alias("y")
+    share, few = _at_least(F.col("x.over") + F.col("y.g")), F.least("x.few", "y.few")
+    same = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent)
+    first = (F.col("x.r") <= F.col("x.m") - share + few) & (F.col("y.r") <= F.col("y.m") - share + few)
+    met = x.join(y, same & first).groupBy(F.col("x.sig").alias("p"), F.col("y.sig").alias("q")).agg(F.count("*").alias("k"), F.first(F.least(few, share)).alias("few"))
+    return met.where("k >= few").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def across(lists: DataFrame, keep: Scratch, percent: int, *, band: float = 0.04, block: int = 256) -> DataFrame:
+    """Pairs (a, b) of sets under different leads that share enough parts within the first ones of both.
+
+    ``lists`` has (t, sig, n, c, cl, m, pos, lead). A list lies in blocks of at most ``block`` sets of one lead and of sizes within a ``band``, which
+    know their sizes, components and first position. With D the most differences for the sizes of two blocks, all their pairs are skipped
+    where a block begins beyond position D + s: linked sets share s parts before it (see ``listed`` for the order)."""
+    kinds = Classes(percent)
+    band_of = F.floor(F.log(F.col("n").cast("double")) / float(np.log1p(band))).cast("int")
+    # at most as many positions as can count for any partner
+    extra = _per_class(kinds.shared, F.col("cl"))
+    top = _per_class(kinds.lows[1:], F.col("cl")) - 1
+    reach = F.when(F.col("n") > top, F.col("n") + top).otherwise(F.col("n") + F.floor(F.col("n") * 100 / percent).cast("long"))
+    cur = lists.where(F.col("pos") <= kinds.most(reach) + extra)
+    several = cur.groupBy("t").agg(F.min("lead").alias("l0"), F.max("lead").alias("l1"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("l0 < l1 and c0 < c1").select("t")
+    cur = keep.written(cur.join(several, "t").withColumn("band", band_of), "near-open")
+    sizes = cur.groupBy("t", "lead", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("ways"))
+    one = F.struct("sig", "n", "c", "pos")
+    made = cur.join(sizes, ["t", "lead", "band"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("ways")))
+    made = made.groupBy("t", "lead", "band", "part").agg(
+        F.collect_list(one).alias("e"), F.first("cl").alias("cl"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("n").alias("largest"), F.min("pos").alias("first")
+    )
+    made = keep.written(made, "near-blocks")
+    x, y = made.alias("x"), made.alias("y")
+    apart = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))  # else all are in one component
+    near = (100 * F.col("x.largest") >= percent * F.col("y.least")) & (100 * F.col("y.largest") >= percent * F.col("x.least"))
+    extra = _per_class(kinds.shared, F.col("x.cl"))
+    before = F.greatest("x.first", "y.first") <= kinds.most(F.col("x.largest") + F.col("y.largest")) + extra
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.lead") < F.col("y.lead")) & apart & near & before)
+    low = _per_class(kinds.lows, F.col("x.cl"))
+    # of two blocks only the pairs that count are made, within one expression
+    good = lambda p, q: (p["c"] != q["c"]) & _fits(p["n"], q["n"], percent) & (F.least(p["n"], q["n"]) >= low) & (F.greatest(p["pos"], q["pos"]) <= kinds.most(p["n"] + q["n"]) + extra)
+    pairs = F.flatten(F.transform("x.e", lambda p: F.transform(F.filter("y.e", lambda q: good(p, q)), lambda q: F.struct(F.least(p["sig"], q["sig"]).alias("a"), F.greatest(p["sig"], q["sig"]).alias("b")))))
+    found = met.select(extra.alias("least"), F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("k"), F.first("least").alias("least"))
+    return found.where("k >= least").select("a", "b")
+
+
+def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, levels: int = 2, key: Column | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of the exact Jaccard join of all documents.
 
     Sets: distinct shingles of ``n_words`` words of the whole text; with fewer words the sequence is the one shingle; a null or blank text
@@ -205,13 +318,13 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
     component_id is the smallest doc_id that links reach.
 
     1. Equal sets become one (their answers are the same).
-    2. Each set is listed under its first shingles of a global order (see ``listed``). A link shows in so many
-       lists at least that two sets that share a passage alone are skipped by position and never tested.
-    3. In each list the set whose shingles are shared most leads (of near copies, the one that was copied); those that
-       follow it in enough lists are tested against it, which gives their exact overlap with it.
+    2. Each set is cut into parts by its hashes, more than the differences of linked sets can touch (see ``Classes``), and listed under
+       those that another set has alike. Sets with too few of them link with nothing.
+    3. In each list the set whose parts are shared most leads (of near copies, the one that was copied); those that
+       follow it in some share of its lists are tested against it, which gives their exact overlap with it.
     4. Answers of a leader's followers derive from its own: two of them that aren't known to be linked can only link if they differ
        from the leader alike, so they are indexed and paired by these differences (see ``differences``), again by leaders first.
-    5. Sets of different leaders, or of none, are paired in the lists of step 2 and counted over them.
+    5. Sets of different leaders, or of none, are paired in the lists of step 2, of which blocks are skipped by position and size (see ``across``).
     Lists whose members are known to be in one component are skipped throughout; all pairs that pass are tested on whole sets, so
     no link between components is lost.
 
@@ -221,19 +334,21 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
     With ``key`` (a long that tells rows of one id apart, such as a hash of the text) the result is doc_id, text_key and component, a
     number of the component whatever ids it has (null for an empty set).
     """
+    keep = Scratch()
     sets_all = written(shingle_sets(docs, n_words, percent, key=key), "near-sets")
     some = sets_all.where("sig is not null")
-    sets = written(some.groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("k")), "near-reps")
-    extra = some.select("doc_id", "sig").join(sets.where("k > 1"), "sig").where(~F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(F.col("doc_id").alias("xd"), F.col("sig").alias("xs"))
-    one = some.join(sized(extra, 1_000_000), F.col("doc_id").eqNullSafe(F.col("xd")) & (F.col("sig") == F.col("xs")), "left_anti")
-    lists = listed(one, percent, hot)
+    sets = keep.written(some.groupBy("sig").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("k")), "near-reps")
+    # one row of each set: of those that several rows have, the first of the smallest id's
+    multi = sized(sets.where("k > 1").select(F.col("sig").alias("xs"), F.col("rep_id").alias("xd")), 200_000)
+    copies = some.join(multi, (F.col("sig") == F.col("xs")) & F.col("doc_id").eqNullSafe(F.col("xd"))).dropDuplicates(["sig"])
+    one = some.join(multi, F.col("sig") == F.col("xs"), "left_anti").select("sig", "n", "own", "below").unionByName(copies.select("sig", "n", "own", "below"))
+    lists = keep.add(listed(one, percent))
     plain = written(sets_all.select("doc_id", *([] if key is None else ["text_key"]), F.col("n").alias("n_shingles"), "sig"), "near-plain")
     discard(sets_all)
-    least = lambda x, y: 1 + F.floor(F.least(x, y) / EXTRA)
 
     def run(pairs: DataFrame) -> DataFrame:
         todo = written(pairs.select("a", "b"), "near-pairs")
-        out = tested(docs, todo, sets, n_words, percent)
+        out = keep.add(tested(docs, todo, sets, n_words, percent))
         discard(todo)
         return out
 
@@ -241,52 +356,43 @@ def near_groups(docs: DataFrame, *, n_words: int = 4, percent: int = 85, hot: in
         links = reduce(DataFrame.union, [t.where("linked").select("a", "b") for t in tests])
         return None if links.isEmpty() else components(links)
 
-    stars = _stars(_with_component(lists, None), ["h"], percent)
-    first = run(stars.where(F.col("k") >= least(F.col("an"), F.col("bn"))))
+    # how much of a set others have, by the lengths of its lists
+    fame = keep.written(lists.groupBy("sig").agg(F.round(F.sum(F.log("c")) / F.first("n"), 9).alias("score")).withColumnRenamed("sig", "fs"), "near-fame")
+    ranked = lists.select("t", "sig", "n", "m").join(sized(fame, 200_000), F.col("sig") == F.col("fs"))
+    stars = _stars(_with_component(ranked, None), ["t"], percent)
+    parts = F.col("an") * (100 - percent) / (100 + percent)
+    first = run(stars.where(F.col("k") >= F.least(F.lit(16), 1 + F.floor(parts / 8))))
     tests, comp = [first], joined([first])
     for _ in range(1, levels):
-        entries, _ = differences(followers(tests), percent)
-        more = run(_stars(_open(written(_with_component(entries, comp), "near-open"), ["lead", "h"]), ["lead", "h"], percent))
+        entries, _ = differences(followers(tests), keep, percent)
+        more = run(_stars(_open(keep.written(_with_component(entries, comp), "near-open"), ["lead", "h"]), ["lead", "h"], percent))
         tests.append(more)
         comp = joined(tests)
-    follow = written(followers(tests), "near-follow")
-    index, probe = differences(follow, percent)
-    index, probe = _with_component(index, comp), _with_component(probe, comp)
-    x, y = probe.alias("x"), index.alias("y")
-    alike = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.cls") == F.col("y.cls")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    alike = alike.groupBy("x.lead", F.col("x.sig").alias("p"), F.col("y.sig").alias("q")).agg(F.count("*").alias("k"), F.first(F.least("x.few", "y.few", F.greatest("x.share", "y.share"))).alias("few")).where("k >= few")
-    alike = alike.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    # of several leaders the one with most followers counts, so that a group's sets have the same one
-    size = follow.groupBy("lead").agg(F.count("*").alias("k"))
-    follow = follow.select("lead", F.col("sig").alias("fs")).join(size, "lead").groupBy("fs").agg(F.max(F.struct("k", "lead")).alias("l")).select("fs", "l.lead")
-
-    # sets of different leaders, in the lists: the followers of one leader are one entry (in parts of about 256)
-    cur = _open(_with_component(lists.select("h", "sig", "n"), comp), ["h"]).join(sized(follow, 400_000), F.col("sig") == F.col("fs"), "left")
-    cur = cur.select("h", "sig", "n", "c", F.coalesce("lead", "sig").alias("lead"))
-    cur = cur.withColumn("part", F.pmod(F.xxhash64("sig"), F.ceil(F.count("*").over(W.partitionBy("h", "lead")) / 256)))
-    entry = cur.groupBy("h", "lead", "part").agg(F.collect_list(F.struct("sig", "n", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    entry = written(entry.withColumn("leads", F.min("lead").over(W.partitionBy("h")) != F.max("lead").over(W.partitionBy("h"))).where("leads"), "near-entries")
-    x, y = entry.alias("x"), entry.alias("y")
-    apart = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))  # else all are in one component
-    near = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lead") < F.col("y.lead")) & apart & near).select(F.col("x.m").alias("x"), F.explode("y.m").alias("y")).select(F.explode("x").alias("x"), "y")
-    across = across.where((F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    across = across.groupBy(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).agg(F.count("*").alias("k"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn")).where(F.col("k") >= least(F.col("xn"), F.col("yn"))).select("a", "b")
+    follow = keep.written(followers(tests), "near-follow")
+    index, probe = differences(follow, keep, percent)
+    within = alike(_with_component(index, comp), _with_component(probe, comp), percent)
+
+    # sets of different leaders, in the lists
+    cur = _open(_with_component(lists.drop("c"), comp), ["t"]).join(sized(follow.select("lead", F.col("sig").alias("fs")), 200_000), F.col("sig") == F.col("fs"), "left")
+    others = across(cur.withColumn("lead", F.coalesce("lead", "sig")), keep, percent)
 
-    tests.append(run(alike.union(across).distinct()))
+    tests.append(run(within.union(others).distinct()))
     comp = joined(tests)
 
     if key is not None:
+        comp = None if comp is None else written(comp, "near-other")
+        keep.clear()
         if comp is None:
             return plain.select("doc_id", "text_key", F.col("sig").alias("component"))
-        return plain.join(sized(comp, 500_000), F.col("sig") == F.col("v"), "left").select("doc_id", "text_key", F.coalesce("c", "sig").alias("component"))
+        return plain.join(sized(comp, 200_000), F.col("sig") == F.col("v"), "left").select("doc_id", "text_key", F.coalesce("c", "sig").alias("component"))
     if comp is None:
-        named = sets.select("sig", F.col("rep_id").alias("name"))
+        named = sets.select("sig", F.col("rep_id").alias("name"), "rep_id", "k")
     else:
         c = sets.join(comp, F.col("sig") == F.col("v"))
         low = c.groupBy("c").agg(F.min("rep_id").alias("name"))
-        named = written(c.join(low, "c").select("sig", "name"), "near-names")
-        named = sets.join(named, "sig", "left").select("sig", F.coalesce("name", "rep_id").alias("name"))
+        named = keep.written(c.join(low, "c").select(F.col("sig").alias("ns"), "name"), "near-names")
+        named = sets.join(named, F.col("sig") == F.col("ns"), "left").select("sig", F.coalesce("name", "rep_id").alias("name"), "rep_id", "k")
     # only sets of several documents, or linked ones, have another name than their document's own id
-    other = named.join(sets.select("sig", "k", "rep_id"), "sig").where("k > 1 or not (name <=> rep_id)").select("sig", "name")
-    return plain.join(sized(written(other, "near-other"), 500_000), "sig", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+    other = written(named.where("k > 1 or not (name <=> rep_id)").select("sig", "name"), "near-other")
+    keep.clear()
+    return plain.join(sized(other, 200_000), "sig", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
