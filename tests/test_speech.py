@@ -83,6 +83,46 @@ def test_realign(spark):
     assert got == {0: "Hello world.", 1: "zzzz qqqq xxxx"}
 
 
+def _realigned(segs, refs, least, window):
+    """One pass with plain ``difflib`` ratios."""
+    from difflib import SequenceMatcher
+
+    def best(text, lo, hi):
+        found, ratio = -1, 0.0
+        for i in range(lo, min(hi, len(refs))):
+            a, b = text.strip().lower(), (refs[i] or "").strip().lower()
+            if a and b and (r := SequenceMatcher(None, a, b).ratio()) > ratio:
+                found, ratio = i, r
+        return found, ratio
+
+    out, last = [], None
+    for n, text in segs:
+        found, ratio = best(text, max(0, last - window), last + window + 1) if last is not None and window else (-1, 0.0)
+        if ratio < least:
+            found, ratio = best(text, 0, len(refs))
+        good = found >= 0 and ratio >= least
+        last = found if good else last
+        out.append((n, refs[found] if good else text, round(ratio, 6), good))
+    return out
+
+
+def test_realign_in_cells_is_one_pass_over_all_sentences(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["the", "over", "stone", "river", "\u00e9t\u00e9", "an", "light", "seven", "of", "Nacht"]
+    refs = [" ".join(rng.choices(words, k=rng.choice((2, 6, 12, 60)))) + "." for _ in range(120)]
+    refs[7] = refs[90] = refs[30]
+    refs[11] = None
+    segs = [(i, "".join(c for c in refs[i % 120] if rng.random() < 0.8) if refs[i % 120] and i % 9 else rng.choice(["zz qq xx", "", "of an of an the", " "])) for i in range(160)]
+    r = spark.createDataFrame([(s, n, t) for s in (1, 2) for n, t in enumerate(refs[: 120 if s == 1 else 20])] , "source_id long, n long, sentence string")
+    s = spark.createDataFrame([(k, n, t) for k in (1, 2, 3) for n, t in segs], "source_id long, seg_idx long, text string")
+    for window in (0, 6):
+        got = P.realign(s, r, window=window, cell=16).collect()
+        for k, mine in ((1, refs), (2, refs[:20]), (3, [])):
+            assert sorted((x["seg_idx"], x["text"], x["ratio"], x["replaced"]) for x in got if x["source_id"] == k) == _realigned(segs, mine, 0.6, window)
+
+
 def test_export_names_what_there_is(spark):
     c = spark.createDataFrame([("A", None)], "speaker string, character string")
     with pytest.raises(ValueError, match="speakers: \\['A'\\]"):

@@ -111,6 +111,30 @@ def test_labels(spark, n, want):
     assert spark.createDataFrame([(n,)], "n long").select(S.char_label(F.col("n"))).first()[0] == want
 
 
+def test_best_match_compares_few_in_full(monkeypatch):
+    import difflib
+    import random
+
+    from weftline.functions import matching
+
+    rng, made = random.Random(3), []
+    texts = ["".join(rng.choices("etaoin shrdlu", k=rng.choice((1, 9, 40, 199, 230, 600)))) for _ in range(150)] + ["same", "same", "", "  ", "a\U0010ffffb", "x" * 700]
+    wanted = [t[::2] for t in texts[:12]] + ["".join(c for c in t if rng.random() < 0.9) for t in texts] + ["\U0010ffff", "qqq", "Same "]
+    plain = []
+    for w in wanted:
+        a, best = w.strip().lower(), (-1, 0.0)
+        for i, c in enumerate(texts):
+            b = c.strip().lower()
+            if a and b and (r := difflib.SequenceMatcher(None, a, b).ratio()) > best[1]:
+                best = (i, r)
+        plain.append(best)
+    monkeypatch.setattr(matching, "SequenceMatcher", lambda *a: made.append(a) or difflib.SequenceMatcher(*a))
+    assert [best_match(w, texts) for w in wanted] == plain
+    assert len(made) <= 2 * len(wanted)
+    monkeypatch.setattr(matching, "GRID", 0)
+    assert [best_match(w, texts) for w in wanted] == plain
+
+
 def test_best_match():
     assert best_match("hello", ["hi", "hello", "bye"]) == (1, 1.0)
     assert best_match("", ["a"]) == best_match("a", []) == (-1, 0.0)

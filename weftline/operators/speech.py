@@ -289,37 +289,93 @@ def stride_sample(rows: DataFrame, key: str, order: str, most: int) -> DataFrame
     return r.where((F.col("size") <= most) | (wanted == F.col("i")))
 
 
-def realign(segments: DataFrame, sentences: DataFrame, *, least: float = 0.6, window: int = 50) -> DataFrame:
-    """Each segment's text replaced by the likest sentence of its source, near the last one found first. Sequential by
-    nature, so one source is one task; (source_id, seg_idx, text) against (source_id, n, sentence)."""
-    from weftline.functions.matching import best_match
-
-    def one(segs: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-        segs, refs = segs.sort_values("seg_idx"), refs.sort_values("n")
-        candidates, out, last = refs["sentence"].tolist(), [], None
-        for row in segs.itertuples():
-            found, ratio = -1, 0.0
-            if last is not None and window > 0:
-                lo = max(0, last - window)
-                found, ratio = best_match(row.text, candidates[lo : last + window + 1])
-                found = found + lo if found >= 0 else -1
-            if ratio < least:
-                found, ratio = best_match(row.text, candidates)
-            good = found >= 0 and ratio >= least
-            last = found if good else last
-            out.append((row.source_id, row.seg_idx, candidates[found] if good else row.text, float(round(ratio, 6)), good))
-        return pd.DataFrame(out, columns=["source_id", "seg_idx", "text", "ratio", "replaced"])
-
-    return segments.groupBy("source_id").cogroup(sentences.groupBy("source_id")).applyInPandas(one, "source_id long, seg_idx long, text string, ratio double, replaced boolean")
+#: Sentences of a source from which on the likeness of unmatched segments is found apart from its one pass, and about how many are compared at a time.
+CELL_SENTENCES = 512
+
+
+def realign(segments: DataFrame, sentences: DataFrame, *, least: float = 0.6, window: int = 50, cell: int = CELL_SENTENCES) -> DataFrame:
+    """Each segment's text replaced by the likest sentence of its source, near the last one found first; (source_id, seg_idx, text)
+    against (source_id, n, sentence). Sequential by nature, so one source is one pass of one task. Of a source of more than ``cell`` sentences the pass only settles
+    what is replaced; the ratios of the other segments need all its sentences, and are found by cells of them."""
+    from weftline.functions.matching import Candidates
+
+    _need_checkpoint(segments.sparkSession)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, refs, likest, last = object(), [], None, None
+        for b in batches:
+            out = []
+            for key, kind, n, text in zip(*(c.to_pylist() for c in b.columns)):
+                if key != source:
+                    source, refs, likest, last = key, [], None, None
+                if kind == 0:
+                    refs.append(text)
+                    continue
+                likest = Candidates(refs) if likest is None else likest
+                size = len(refs)
+                near = (0, size) if last is None or window <= 0 else (max(0, last - window), min(last + window + 1, size))
+                # no sentence stands for one of just less than the least ratio
+                found, ratio = likest.best(text, *near, (size, least)) if near != (0, size) else (size, least)
+                if found == size and size > cell and key is not None and n is not None:
+                    found, ratio = likest.best(text, 0, size, (size, least))
+                    ratio = ratio if found < size else None
+                elif found == size:
+                    found, ratio = likest.best(text)
+                good = ratio is not None and 0 <= found < size and ratio >= least
+                last = found if good else last
+                out.append((key, n, refs[found] if good else text, None if ratio is None else float(round(ratio, 6)), good))
+            yield _arrow(out, schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, refs, likest = object(), [], None
+        for b in batches:
+            out = []
+            for key, part, kind, n, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, part) != at:
+                    at, refs, likest = (key, part), [], None
+                if kind == 0:
+                    refs.append(text)
+                    continue
+                likest = Candidates(refs) if likest is None else likest
+                out.append((key, n, text, float(round(likest.best(text)[1], 6))))
+            yield _arrow(out, schema.remove(schema.get_field_index("replaced")))
+
+    schema = pa.schema([("source_id", pa.int64()), ("seg_idx", pa.int64()), ("text", pa.string()), ("ratio", pa.float64()), ("replaced", pa.bool_())])
+    segs = segments.select(F.col("source_id").cast("long").alias("source_id"), F.lit(1).alias("kind"), F.col("seg_idx").cast("long").alias("n"), "text")
+    refs = sentences.select(F.col("source_id").cast("long").alias("source_id"), F.lit(0).alias("kind"), F.col("n").cast("long").alias("n"), F.col("sentence").alias("text"))
+    rows = _dealt(refs.unionByName(segs), "source_id").sortWithinPartitions("source_id", "kind", "n", "text")
+    done = rows.mapInArrow(follow, "source_id long, seg_idx long, text string, ratio double, replaced boolean").checkpoint()
+    rest = done.where("ratio IS NULL").drop("ratio", "replaced").distinct()
+    if rest.isEmpty():
+        return done
+    wanted = refs.where(F.col("text").isNotNull()).select("source_id", "text").join(rest.select("source_id").distinct(), "source_id", "left_semi").distinct()
+    ways = wanted.groupBy("source_id").agg(F.ceil(F.count("*") / cell).cast("int").alias("ways"))
+    r = wanted.join(ways, "source_id").select("source_id", F.pmod(F.xxhash64("text"), "ways").cast("int").alias("cell"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("n"), "text")
+    s = rest.join(ways, "source_id").select("source_id", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("cell"), F.lit(1).alias("kind"), F.col("seg_idx").alias("n"), "text")
+    cells = _dealt(r.unionByName(s), "source_id", "cell").sortWithinPartitions("source_id", "cell", "kind")
+    ratios = cells.mapInArrow(compare, "source_id long, seg_idx long, text string, ratio double").groupBy("source_id", "seg_idx", "text").agg(F.max("ratio").alias("ratio"))
+    late = done.where("ratio IS NULL").drop("ratio").join(ratios, ["source_id", "seg_idx", "text"])
+    return done.where("ratio IS NOT NULL").unionByName(late)
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by keys in several partitions a core at least, for work that costs far more than its bytes tell."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def fuzzy_matches(texts: DataFrame, candidates: Sequence[str]) -> DataFrame:
     """(key, index, ratio) of the likest of a short list of candidates, the first of equals."""
-    from weftline.functions.matching import best_match
+    from weftline.functions.matching import Candidates
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        likest = Candidates(candidates)
         for b in batches:
-            got = [best_match(t, list(candidates)) for t in b["text"]]
+            got = [likest.best(t) for t in b["text"]]
             yield pd.DataFrame({"key": b["key"], "index": [g[0] for g in got], "ratio": [g[1] for g in got]})
 
     return texts.select("key", "text").mapInPandas(run, "key long, index int, ratio double")
